@@ -34,10 +34,13 @@ MAGIC = b"SLDAC001"
 #: A file is closed once it has so many ids; a document is never split over files.
 FILE_TOKENS = 2_000_000
 #: Pieces that a worker remembers.
-PIECES = 500_000
+PIECES = 400_000
 _NO_ID = -(1 << 63)
 _PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _OTHER_SPACE = re.compile(r"[^\S \n\t\r]")
+_RARE = "\x0b\x0c\x1c\x1d\x1e\x1f"
+_SPACE_PAIRS = ("  ", "\n ", "\t ", "\r ")
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 # ---------------------------------------------------------------- directly addressable codes
@@ -125,12 +128,58 @@ class TokenFile:
 # ---------------------------------------------------------------- encoding
 
 
+class Pieces(dict):
+    """Numbers of pieces, and their ids as rows end to end. A new piece gets the next number and waits in ``new`` for its ids."""
+
+    def __init__(self, kind: type) -> None:
+        self.new: list[str] = []
+        self.flat, self.sizes, self.starts = np.zeros(0, kind), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int32)
+
+    def __missing__(self, piece: str) -> int:
+        k = self[piece] = len(self)
+        self.new.append(piece)
+        return k
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> Pieces:
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes.astype(np.int32))
+        self.flat = np.append(self.flat, flat.astype(self.flat.dtype))
+        self.uses = np.append(self.uses, np.zeros(len(sizes), np.int32))
+        return self
+
+    def take(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows ``k`` end to end, and their sizes."""
+        n = self.sizes[k].astype(np.int64)
+        if not len(n):
+            return self.flat[:0], n
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.starts[k] - ends + n, n) + np.arange(ends[-1])], n
+
+    def used(self, k: np.ndarray) -> None:
+        self.uses += np.bincount(k, minlength=len(self.uses)).astype(np.int32)
+
+    def shrunk(self, most: int) -> Pieces:
+        """At most ``most`` of the pieces that were used more than once, the most used ones."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > most:
+            keep = np.sort(keep[np.argpartition(-self.uses[keep], most)[:most]])
+        out = Pieces(self.flat.dtype).add(*self.take(keep))
+        out.uses = self.uses[keep] // 2
+        names = list(self)
+        for n, k in enumerate(keep.tolist()):
+            out[names[k]] = n
+        return out
+
+
 class PieceEncoder:
     """Ids by the tokenizers library, with a cache of pieces.
 
-    A piece is a run of spaces, tabs and line ends with the run of other characters after it. Pre-tokens of a byte-level tokenizer never
-    cross from a character that isn't white space to one that is, so a text's ids are its pieces' ids in a row. A text with any other
-    white space is one piece.
+    Pre-tokens of a byte-level tokenizer never cross from a character that isn't white space to a space or line end, nor from a letter
+    to ASCII punctuation. So a text's ids are those of its pieces in a row, and a piece's are those of its parts. A piece is what
+    stands between two spaces, with the first of them; a part is a run of white space with the letters or other characters after it.
+    A text where a space follows other white space is cut by the pattern of parts, and one with white space besides space, tab and line
+    ends is one piece. Keys of pieces that don't start with a space are marked by a zero character.
     """
 
     def __init__(self, path: str):
@@ -143,19 +192,30 @@ class PieceEncoder:
         self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # in the byte-level alphabet a character is a byte
         for token, k in vocab.items():
             self.token_bytes[k] = len(token)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.sizes, self.known = [], [], 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        chained = [p for p in pieces if p[0] in " \n\t\r" and p[-1] not in " \n\t\r" and not _OTHER_SPACE.search(p)]
-        single = [p for p in pieces if not (p[0] in " \n\t\r" and p[-1] not in " \n\t\r" and not _OTHER_SPACE.search(p))]
-        ids, sizes = [], []
-        if chained:  # they are cut apart again by their bytes
-            row = np.array(self.tokenizer.encode_batch_fast(["".join(chained)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(np.fromiter((len(p.encode()) for p in chained), np.int64, len(chained)))
+        self.id_type = np.uint16 if len(self.token_bytes) <= 1 << 16 else np.uint32
+        self.pieces, self.parts = Pieces(self.id_type), Pieces(self.id_type)
+
+    def _keys(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if (any(c in text for c in _RARE) if text.isascii() else _OTHER_SPACE.search(text)) or "\0" in text:
+            return ["\0" + text]
+        if any(pair in text for pair in _SPACE_PAIRS):
+            return ["\0" + p for p in _PIECE.findall(text)]
+        keys = text.split(" ")
+        keys[0] = "\0" + keys[0]
+        return keys
+
+    def _learn_parts(self) -> None:
+        new, self.parts.new = self.parts.new, []
+        if not new:
+            return
+        chained = [k for k, p in enumerate(new) if p[0] in " \n\t\r" and not p[-1].isspace()]
+        single = sorted(set(range(len(new))).difference(chained))
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        if chained:  # encoded as one text, and cut apart again by their bytes
+            row = np.array(self.tokenizer.encode_batch_fast(["".join([new[k] for k in chained])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(np.fromiter((len(new[k].encode()) for k in chained), np.int64, len(chained)))
             token_ends = np.cumsum(self.token_bytes[row])
             stops = np.searchsorted(token_ends, ends, side="left") + 1
             if not np.array_equal(token_ends[stops - 1], ends):
@@ -163,34 +223,52 @@ class PieceEncoder:
             ids.append(row)
             sizes.append(np.diff(stops, prepend=0))
         if single:
-            rows = [e.ids for e in self.tokenizer.encode_batch_fast(single, add_special_tokens=False)]
+            rows = [e.ids for e in self.tokenizer.encode_batch_fast([new[k] for k in single], add_special_tokens=False)]
             ids += [np.array(r, np.uint32) for r in rows]
             sizes.append(np.array([len(r) for r in rows], np.int64))
-        for p in chained + single:
-            self.index[p] = self.known
-            self.known += 1
-        self.flat.append(np.concatenate(ids))
-        self.sizes.append(np.concatenate(sizes))
+        back = np.argsort(np.array(chained + single))
+        flat, n = Pieces(np.uint32).add(np.concatenate(ids), np.concatenate(sizes)).take(back)
+        self.parts.add(flat, n)
+
+    def _learn(self) -> None:
+        """Ids of new pieces, by their parts."""
+        new, self.pieces.new = self.pieces.new, []
+        numbers, counts, part = [], [], self.parts.__getitem__
+        for key in new:
+            before = len(numbers)
+            if key[:1] == "\0":
+                text = key[1:]
+                parts = [text] if _OTHER_SPACE.search(text) or "\0" in text else _PIECE.findall(text)
+            else:
+                text = " " + key
+                parts = _PIECE.findall(text) if "\n" in key or "\t" in key or "\r" in key else (text,)
+            for p in parts:
+                stem = p.rstrip(_PUNCTUATION)
+                if len(stem) < len(p) and stem and stem[-1].isalpha():
+                    numbers += part(stem), part(p[len(stem) :])
+                else:
+                    numbers.append(part(p))
+            counts.append(len(numbers) - before)
+        self._learn_parts()
+        part_numbers = np.array(numbers, np.int64)
+        self.parts.used(part_numbers)
+        flat, n = self.parts.take(part_numbers)
+        ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
+        self.pieces.add(flat, np.diff(ends))
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
-        split = [([t] if _OTHER_SPACE.search(t) else _PIECE.findall(t)) if t else [] for t in batch]
-        if self.known > PIECES:
-            self._clear()
-        new = list(dict.fromkeys(p for pieces in split for p in pieces if p not in self.index))
-        if new:
-            self._learn(new)
-            self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
-            self.starts = np.cumsum(self.sizes[0]) - self.sizes[0]
-        out = []
-        for pieces in split:
-            if not pieces:
-                out.append(np.zeros(0, np.uint32))
-                continue
-            k = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-            n = self.sizes[0][k]
-            ends = np.cumsum(n)
-            out.append(self.flat[0][np.repeat(self.starts[k] - ends + n, n) + np.arange(ends[-1])])
-        return out
+        if len(self.pieces) > PIECES:
+            self.pieces = self.pieces.shrunk(PIECES // 2)
+        if len(self.parts) > PIECES:
+            self.parts = self.parts.shrunk(PIECES // 2)
+        number, numbers = self.pieces.__getitem__, []
+        for t in batch:
+            keys = self._keys(t)
+            numbers.append(np.fromiter(map(number, keys), np.int64, len(keys)))
+        if self.pieces.new:
+            self._learn()
+        self.pieces.used(np.concatenate([np.zeros(0, np.int64), *numbers]))
+        return [self.pieces.take(k)[0].astype(np.uint32) for k in numbers]
 
 
 @lru_cache(maxsize=2)
