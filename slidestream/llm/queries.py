@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidestream.llm import bpe, decontaminate, line_dedup, quality, simhash, token_counts, token_store, toxicity
+from slidestream.llm import bpe, decontaminate, line_dedup, pii, quality, simhash, token_counts, token_store, toxicity, warc
 from slidestream.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir))
+
+
 @query
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_store.write_tokens(documents(spark, sf_dir), token_store.new_folder(spark))
@@ -64,3 +69,12 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
+
+
+@query
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(warc.captures_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return out.withColumn("headers", warc.header_text(F.col("headers")))
+
+
+ORACLE_SQL["op10_warc_revisits"] = warc.SQL
