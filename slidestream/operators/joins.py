@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidestream.fields import Field
-from slidestream.operators.windows import END, START
+from slidestream.operators.windows import END, START, WINDOW
 
 
 def window_join(left: DataFrame, right: DataFrame, left_key: Field | str, right_key: Field | str) -> DataFrame:
@@ -15,6 +15,8 @@ def window_join(left: DataFrame, right: DataFrame, left_key: Field | str, right_
     l, r = (k.column if isinstance(k, Field) else k for k in (left_key, right_key))
     if l != r:
         right = right.withColumnRenamed(r, l)
+    if WINDOW in left.columns and WINDOW in right.columns:
+        return left.join(right.drop(START, END), [WINDOW, l], "inner").drop(WINDOW)
     return left.join(right.drop(END), [START, l], "inner")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from slidestream.fields import AggSchema
 from slidestream.operators.aggregate import aggregate, expressions
 
-START, END = "w_start", "w_end"
+START, END, WINDOW = "w_start", "w_end", "window"
 
 
 def check(size: int, slide: int) -> int:
@@ -38,8 +38,12 @@ def tumbling(df: DataFrame, ts: str, size: int) -> DataFrame:
 
 
 def sliding_aggregate(df: DataFrame, ts: str, size: int, slide: int, spec: AggSchema, arrival: str | None = None) -> DataFrame:
-    """Directly: for streams, and as the check of the pane plan."""
-    return aggregate(sliding(df, ts, size, slide), spec, [START, END], arrival)
+    """Directly: for streams, and as the check of the pane plan. A stream keeps the column ``window``, which carries its watermark."""
+    if not df.isStreaming:
+        return aggregate(sliding(df, ts, size, slide), spec, [START, END], arrival)
+    check(size, slide)
+    out = aggregate(df.withColumn(WINDOW, F.window(ts, _ms(size), _ms(slide))), spec, [WINDOW], arrival)
+    return out.withColumn(START, F.col(f"{WINDOW}.start")).withColumn(END, F.col(f"{WINDOW}.end"))
 
 
 def windows_of_pane(pane: Column, size: int, slide: int) -> Column:

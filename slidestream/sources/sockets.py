@@ -31,38 +31,47 @@ def rank_lines(spark: SparkSession, port: int, ranks: int, host: str = "127.0.0.
 
 
 class _Lines(SimpleDataSourceStreamReader):
+    """Spark copies the reader before use, so it connects on the first read."""
+
     def __init__(self, host: str, port: int):
+        self.address = (host, port)
         self.lines: list[str] = []
         self.first = 0  # lines before this one are committed and gone
-        self.lock = threading.Lock()
-        self.closed = False
-        threading.Thread(target=self._receive, args=(host, port), daemon=True).start()
+        self.lock = None
+
+    def _connect(self) -> None:
+        if self.lock is None:
+            self.lock = threading.Lock()
+            threading.Thread(target=self._receive, daemon=True).start()
 
-    def _receive(self, host: str, port: int) -> None:
+    def _receive(self) -> None:
         rest = b""
-        with socket.create_connection((host, port)) as s:
+        with socket.create_connection(self.address) as s:
             while data := s.recv(1 << 21):
                 *whole, rest = (rest + data).split(b"\n")
                 with self.lock:
                     self.lines += [x.decode("utf-8", "replace") for x in whole]
-        with self.lock:
-            self.lines += [rest.decode("utf-8", "replace")] if rest else []
-            self.closed = True
+        if rest:
+            with self.lock:
+                self.lines.append(rest.decode("utf-8", "replace"))
 
     def initialOffset(self) -> dict:
         return {"line": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        self._connect()
         with self.lock:
             out = self.lines[start["line"] - self.first :]
         return iter([(x,) for x in out]), {"line": start["line"] + len(out)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        self._connect()
         with self.lock:
             out = self.lines[start["line"] - self.first : end["line"] - self.first]
         return iter([(x,) for x in out])
 
     def commit(self, end: dict) -> None:
+        self._connect()
         with self.lock:
             del self.lines[: end["line"] - self.first]
             self.first = end["line"]

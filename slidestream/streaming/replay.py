@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_slides(folder: str, lines: Iterable[str], burst: int, start_ms: int, slide_ms: int, flush_ms: int | None = None) -> None:
+def write_slides(folder: str, lines: Iterable[str], burst: int, start_ms: int, slide_ms: int, flush: tuple[int, str] | None = None) -> None:
     """One file for each burst of lines: ``arrival ms|line``. Files get modification times a slide apart, as the source orders by them.
 
-    ``flush_ms`` adds a last line with that arrival and no content, which lets the watermark pass every window before.
+    ``flush`` adds a last line, with its arrival in ms. It must parse, and be of a key that doesn't matter: it lets the watermark pass
+    every window before.
     """
     os.makedirs(folder, exist_ok=True)
     rest, n = list(lines), 0
     bursts = [rest[k : k + burst] for k in range(0, len(rest), burst)]
-    stamped = [[f"{start_ms + k * slide_ms}|{x}" for x in b] for k, b in enumerate(bursts)] + ([[f"{flush_ms}|"]] if flush_ms else [])
+    stamped = [[f"{start_ms + k * slide_ms}|{x}" for x in b] for k, b in enumerate(bursts)] + ([[f"{flush[0]}|{flush[1]}"]] if flush else [])
     for n, b in enumerate(stamped):
         path = f"{folder}/{n:06d}.txt"
         with open(path, "w") as f:
