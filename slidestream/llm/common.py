@@ -6,7 +6,6 @@ Words are the runs of bytes outside ``[\\x20\\x09-\\x0D]``; ``bytes.split()`` cu
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -14,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch that Spark hands to Python; a row larger than that is a batch of its own.
 BYTES_PER_BATCH = 4 << 20
@@ -92,16 +90,3 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     for k in range(w):
         out += mixed(hashes[k : n - w + 1 + k] ^ _MULTIPLIERS[k]) * _MULTIPLIERS[k]
     return mixed(out)
-
-
-def row_id(df: DataFrame, name: str) -> DataFrame:
-    """Adds a hash of (doc_id, text): rows that share it are equal in both."""
-    return df.withColumn(name, F.xxhash64(F.col("doc_id"), F.col("text")))
-
-
-def remove_tree(path: str) -> None:
-    """Deletes a local folder tree below the shared folder; other stores keep it for their own cleaner."""
-    import shutil
-
-    if path.startswith("file:") or path.startswith(os.sep):
-        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)

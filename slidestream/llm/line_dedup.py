@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidestream.llm.common import cut, row_id
+from slidestream.llm.common import cut
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -48,7 +48,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     held = F.struct(*[F.col(c) for c in names if c != "text"]).alias("__rest")
-    rows = row_id(docs, "row").select(held, "row", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    rows = docs.select(held, F.xxhash64("doc_id", "text").alias("row"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     drops = dropped_lines(rows.select("id", "row", "lines"), min_chars, min_docs)
     both = rows.join(drops, ["id", "row"], "left").withColumn("n_lines", F.size("lines").cast("long"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))

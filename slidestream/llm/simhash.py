@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidestream.llm.common import arrow_map, cut, lower_words, texts
@@ -152,7 +152,7 @@ def _join(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(labels, labels[j], low)
         np.minimum.at(labels, i, low)
         np.minimum.at(labels, j, low)
-        while (up := labels[labels])is not None and (up != labels).any():
+        while (up := labels[labels]) is not None and (up != labels).any():
             labels[:] = up
 
 
@@ -254,9 +254,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` whose doc_id is the least of their component; of rows that share a doc_id one stays; rows without one stay."""
-    from pyspark.sql import Window
-
     kept = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("__one", F.row_number().over(one)).where("__one = 1").drop("__one")
+    rank = "_" * (1 + max(map(len, docs.columns)))  # no column has this name
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).drop(rank)
     return named.select(*docs.columns).union(docs.where("doc_id is null"))
