@@ -52,16 +52,19 @@ def profit_query(ads: Callable[[SparkSession], DataFrame], checkouts: Callable[[
 
 
 def profit_by_window(ads: DataFrame, checkouts: DataFrame, size: int, slide: int) -> DataFrame:
-    """The query over columns ``ts, ad_id, amount`` of both sides: ``w_start, ad_id, profit, max_ts, n_ads``.
+    """The query over columns ``ts, ad_id, amount`` of both sides: ``w_start, ad_id, profit, max_ts, n_ads``."""
+    none = F.lit(None).cast("double")
+    return profit_of_sides(ads.select("ts", "ad_id", F.col("amount").alias("cost"), none.alias("value")).union(checkouts.where("ad_id <> 0").select("ts", "ad_id", none, "amount")), size, slide)
+
+
+def profit_of_sides(rows: DataFrame, size: int, slide: int) -> DataFrame:
+    """The query over ``ts, ad_id, cost, value``: an ad has a cost, a checkout a value, no row both; rows with neither don't count.
 
     One plan for both sides: their panes are aggregated together, so rows are exchanged once by pane and key and once, already reduced to
     a row for each pane and key, by window and key, and the join is a filter on the groups. Amounts are added exactly.
     """
-    both = ads.select("ts", "ad_id", F.col("amount").alias("cost"), F.lit(None).cast("double").alias("value")).union(
-        checkouts.where("ad_id <> 0").select("ts", "ad_id", F.lit(None).cast("double"), "amount"))
-    is_ad = F.col("cost").isNotNull()
-    panes = both.groupBy(F.window("ts", f"{slide} milliseconds").start.alias("pane"), "ad_id").agg(
-        F.sum(money(F.col("cost"))).alias("cost"), F.sum(money(F.col("value"))).alias("value"), F.max("ts").alias("max_ts"), F.count(F.when(is_ad, 1)).alias("n_ads"), F.count("value").alias("n_checkouts"))
+    panes = rows.groupBy(F.window("ts", f"{slide} milliseconds").start.alias("pane"), "ad_id").agg(
+        F.sum(money(F.col("cost"))).alias("cost"), F.sum(money(F.col("value"))).alias("value"), F.max(F.when(F.col("cost").isNotNull() | F.col("value").isNotNull(), F.col("ts"))).alias("max_ts"), F.count("cost").alias("n_ads"), F.count("value").alias("n_checkouts"))
     copies = panes.withColumn("w_start", windows_of_pane(F.col("pane"), size, slide))
     return (
         copies.groupBy("w_start", "ad_id")
