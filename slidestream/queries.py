@@ -18,6 +18,7 @@ from slidestream.operators import aggregate, exchange, filters, joins, parse, pr
 from slidestream.plans.profit import profit_by_window, profit_of_sides
 from slidestream.sinks import text
 from slidestream.sources import batch, generator
+from slidestream.streaming import profit as stream_profit
 
 HOUR = 3_600_000
 SIZE, SLIDE = 5 * HOUR, HOUR
@@ -50,11 +51,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ad_id", number_k(F.col("props")))
 
 
-def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sides(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Ads and checkouts in one scan, as ``profit_of_sides`` takes them."""
+    rows = events(spark, sf_dir)
+    if stream:
+        found = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1000).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file
+        rows = found.withColumn("ad_id", number_k(F.col("props")))
     cost = F.when(F.col("event_type").isin("view", "click"), F.col("value"))
     value = F.when((F.col("event_type") == "purchase") & (F.col("ad_id") != 0), F.col("value"))
-    return events(spark, sf_dir).where("event_type IN ('view', 'click', 'purchase')").select("ts", "user_id", "ad_id", cost.alias("cost"), value.alias("value"))
+    return rows.where("event_type IN ('view', 'click', 'purchase')").select("ts", "user_id", "ad_id", cost.alias("cost"), value.alias("value"))
 
 
 def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +102,12 @@ def window_join_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profit_of_sides(sides(spark, sf_dir), SIZE, SLIDE)
 
 
+@query(f"WITH {_PROFIT} SELECT w_start, ad_id, profit, max_ts, CAST(n_ads AS BIGINT) AS n_ads FROM profit")
+def stream_window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship as a stream over the events' files, run to their end."""
+    return stream_profit.run(sides(spark, sf_dir, stream=True), SIZE, SLIDE)
+
+
 def _side(df: DataFrame, name: str, pane: bool = True) -> tuple[DataFrame, Field, Field, Field]:
     key, amount, ts = Field("ad_id", "int"), Field(name, "double"), Field("ts", "timestamp")
     rows = df.select("ts", F.col("ad_id").alias(key.column), F.col("amount").alias(amount.column), F.col("ts").alias(ts.column), F.lit(1).alias("_one"))

@@ -33,6 +33,17 @@ def to_console(df: DataFrame, out: TextIO | None = None) -> int:
     return n
 
 
+def to_console_vectors(df: DataFrame, column: str, out: TextIO | None = None, first_only: bool = False) -> int:
+    """Prints arrays as space-separated lines, up to the first empty one; of structs all fields, or the first."""
+    n = 0
+    for row in df.select(column).toLocalIterator():
+        if not row[0]:
+            break
+        print(" ".join(str(x[0] if first_only else ",".join(map(str, x)) if isinstance(x, tuple) else x) for x in row[0]), file=out or sys.stdout)
+        n += 1
+    return n
+
+
 def to_function(df: DataFrame, n: int, fn: Callable[[int, Any], None]) -> None:
     """Calls ``fn(i, row)`` for the first n rows, i from 1."""
     for i, row in enumerate(df.limit(n).toLocalIterator(), 1):

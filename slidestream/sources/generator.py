@@ -97,3 +97,22 @@ def serve(lines: list[str], port: int = 0, pace: Pace = Pace(1 << 62, 0)) -> tup
     thread = threading.Thread(target=run, daemon=True)
     thread.start()
     return listener.getsockname()[1], thread
+
+
+def staged_lines(df: DataFrame) -> list[str]:
+    """Rows made first, then stamped with one event time, then written as lines: both streams of a run start together. The server is one
+    process, so the lines must fit into it; a cluster's load comes from one generator a rank."""
+    made = df.drop("event_time").collect()
+    now = int(time.time() * 1000)
+    return [",".join([*map(str, row), str(now)]) for row in made]
+
+
+def serve_ranks(spark: SparkSession, count: int, ranks: int, ports_begin: int = 0, pace: Pace = Pace(1 << 62, 0)) -> list[tuple[int, int]]:
+    """Ads and checkouts for each rank, ``count`` rows each, on two ports after each other from ``ports_begin`` (0: any). The ports."""
+    out = []
+    for r in range(ranks):
+        at = ports_begin + 2 * r if ports_begin else 0
+        sides = (ads(spark, count, SEED + 100 * r), checkouts(spark, count, SEED + 100 * r + 10))
+        ports = [serve(staged_lines(df), at + k if at else 0, pace)[0] for k, df in enumerate(sides)]
+        out.append((ports[0], ports[1]))
+    return out

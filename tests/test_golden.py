@@ -147,3 +147,19 @@ def test_pipeline_errors(spark):
     with pytest.raises(ValueError, match="source"):
         dsl.append(stranger, "1").__or__(dsl.append(stranger, "1")).dataframe(spark)
     assert os.path.exists(__file__)
+
+
+def test_ranks(spark):
+    ports = generator.serve_ranks(spark, 50, 2)
+    assert len(ports) == 2
+    assert all(sockets.drain("127.0.0.1", p)["bytes"] > 1000 for pair in ports for p in pair)
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame([([1, 2],), ([3],), ([],), ([4],)], "v array<int>")
+    out = io.StringIO()
+    assert text.to_console_vectors(df, "v", out) == 2 and out.getvalue() == "1 2\n3\n"
+    pairs = spark.createDataFrame([([(1, 2), (3, 4)],)], "v array<struct<a:int,b:int>>")
+    out = io.StringIO()
+    text.to_console_vectors(pairs, "v", out, first_only=True)
+    assert out.getvalue() == "1 3\n"
