@@ -1,4 +1,4 @@
-"""What several corpus operators share: word and shingle arrays, Arrow mapping, durable intermediate tables.
+"""What several corpus operators share: word and shingle arrays, and Arrow mapping.
 
 Words are the runs of bytes outside ``[\\x20\\x09-\\x0D]``; ``bytes.split()`` cuts at exactly that set, and
 ``bytes.lower()`` changes A-Z only, so both work on UTF-8 without decoding.
@@ -6,7 +6,6 @@ Words are the runs of bytes outside ``[\\x20\\x09-\\x0D]``; ``bytes.split()`` cu
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,23 +25,6 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none (local runs)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="slidestream-")
-        shared_dir.own = path
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, without its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

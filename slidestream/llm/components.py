@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidestream.llm.common import cut
+from slidestream.shared import cut
 
 
 def _large_star(links: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ SIMILARITY = 0.8
 RADIUS = 23
 BLOCKS = 8
 #: Characters of benchmark text in an index; a larger benchmark is looked up block by block.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 _WINDOWS = 4096
 _FILTER_BITS = 20
 

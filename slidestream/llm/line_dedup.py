@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidestream.llm.common import cut
+from slidestream.shared import cut
 
 MIN_CHARS = 20
 MIN_DOCS = 3

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slidestream.llm import bpe, decontaminate, line_dedup, pii, quality, simhash, token_counts, token_store, toxicity, warc
 from slidestream.llm.common import documents
+from slidestream.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,7 +32,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_store.write_tokens(documents(spark, sf_dir), token_store.new_folder(spark))
+    manifest = token_store.write_tokens(documents(spark, sf_dir), new_folder(spark, "tokens"))
     return token_store.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

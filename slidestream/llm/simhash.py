@@ -16,8 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slidestream.llm.common import arrow_map, cut, lower_words, texts
+from slidestream.llm.common import arrow_map, lower_words, texts
 from slidestream.llm.components import connected_components
+from slidestream.shared import cut
 
 SHINGLE_WORDS = 3
 RADIUS = 3

@@ -23,10 +23,11 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slidestream.llm.common import arrow_map, cut, shared_dir, texts
+from slidestream.llm.common import arrow_map, texts
+from slidestream.shared import cut, new_folder
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -349,6 +350,3 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     return arrow_map(spread, run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def new_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-

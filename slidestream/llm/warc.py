@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slidestream.llm.common import arrow_map, cut
+from slidestream.llm.common import arrow_map
+from slidestream.shared import cut
 
 #: Headers of a 304 response that replace stored ones. Fixed values.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
