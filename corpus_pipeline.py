@@ -6,13 +6,13 @@ documents; the last returns a digest of each remaining document's ids and of the
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidestream.llm import bpe, common, decontaminate, line_dedup, simhash, toxicity
+from slidestream.shared import new_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -56,7 +56,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result written to the shared folder and read again."""
-    folder = f"{common.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "pipeline")
     docs = common.documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
