@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared folder, without its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of at most a few numbers that may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, which must be computed already (see ``cut``), marked for broadcast if it has so few rows; else as it is, for a join of
+    exchanges, whose skewed partitions Spark splits."""
+    return F.broadcast(df) if df.count() <= max_rows else df
