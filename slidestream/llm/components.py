@@ -11,7 +11,7 @@ from slidestream.shared import cut
 def _large_star(links: DataFrame) -> DataFrame:
     """Every neighbour larger than a node is linked to the least of the node's neighbourhood."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))  # so that a hub's links can be split
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 

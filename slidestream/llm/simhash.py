@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from slidestream.llm.common import arrow_map, lower_words, texts
 from slidestream.llm.components import connected_components
-from slidestream.shared import cut
+from slidestream.shared import broadcast_if_small, cut
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -197,8 +197,8 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, b
     """Links ``(a, b)`` between different fingerprints of ``distinct_fps(fp)`` whose closure is that of all pairs within ``radius``."""
     keys = F.explode(F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for t, m in enumerate(masks(blocks, radius))]))
     rows = distinct_fps.select("fp", keys.alias("k")).select("fp", "k.t", "k.key")
-    hot = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("t", "key", F.ceil(F.col("n") * 2 / bucket_rows).cast("int").alias("parts"))
-    rows = rows.join(hot, ["t", "key"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
+    hot = cut(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("t", "key", F.ceil(F.col("n") * 2 / bucket_rows).cast("int").alias("parts")))
+    rows = rows.join(broadcast_if_small(hot), ["t", "key"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
     other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("other", other).select(
         "t", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"), "fp")
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     label = connected_components(links(distinct.select("fp"), radius, blocks, bucket_rows))
     grouped = distinct.join(label, distinct.fp == label.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    ids = cut(grouped.groupBy("component").agg(F.min("least").alias("component_id")))  # so that a large component's rows can be split
     of_fp = grouped.select("fp", "component").join(ids, "component").select("fp", "component_id")
     return own.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
