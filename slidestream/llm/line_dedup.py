@@ -2,9 +2,9 @@
 
 Lines are exploded without their text: only (document, position, 128-bit hash of the normalised line) is shuffled. Counting distinct
 documents and finding the largest doc_id of a hash are aggregates with map-side partials, so a line that a third of all documents hold
-costs one row per task. The hashes are computed once and checkpointed, and so are the common ones, so the join of the two is one of plain
-exchanges, whose large partitions Spark splits. What a document loses comes back as a list of positions, joined to its lines, which are put together by
-position.
+costs one row per task. The hashes are computed once and checkpointed, and so are the common ones, so their join is a broadcast of a
+counted table or one of plain exchanges, whose large partitions Spark splits. What a document loses comes back as a list of positions,
+joined to its lines, which are put together by position.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidestream.shared import cut
+from slidestream.shared import broadcast_if_small, cut
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -35,7 +35,7 @@ def dropped_lines(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
         .select("id", "row", "pos", F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g"))
     )
     common = cut(keyed.groupBy("h", "g").agg(F.countDistinct("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).drop("n"))
-    return keyed.join(common, ["h", "g"]).where("id < last").groupBy("id", "row").agg(F.collect_set("pos").alias("drop"))
+    return keyed.join(broadcast_if_small(common), ["h", "g"]).where("id < last").groupBy("id", "row").agg(F.collect_set("pos").alias("drop"))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
