@@ -197,3 +197,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
         docs = arrow_map(docs, run, docs.schema)
     return docs
+
+
+_WORDS = "list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')"
+#: The same pairs without fingerprints: every window that shares a shingle with an item of its size.
+SQL = f"""
+WITH i AS (SELECT item_id, w, len(w) AS n, least(5, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0),
+its AS (SELECT item_id, n, k, s, count(*) AS c FROM (SELECT item_id, n, k, array_to_string(w[p:p + k - 1], ' ') AS s FROM i, unnest(range(1, n - k + 2)) AS _(p)) GROUP BY ALL),
+d AS (SELECT doc_id, w, len(w) AS len FROM (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL)),
+ds AS (SELECT doc_id, len, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM d, (SELECT DISTINCT k FROM i), unnest(range(1, len - k + 2)) AS _(p)),
+windows AS (
+  SELECT DISTINCT doc_id, item_id, k, least(n, len) - k + 1 AS m, least(greatest(p - b, 1), len - least(n, len) + 1) AS start
+  FROM ds JOIN its USING (k, s), unnest(range(0, least(n, len) - k + 1)) AS _(b)),
+inside AS (SELECT doc_id, item_id, start, m, ds.s, count(*) AS c FROM windows JOIN ds USING (doc_id, k) WHERE p BETWEEN start AND start + m - 1 GROUP BY ALL),
+shared AS (SELECT doc_id, item_id, start, any_value(m) AS m, sum(least(inside.c, its.c)) AS shared FROM inside JOIN its USING (item_id, s) GROUP BY ALL),
+scored AS (SELECT *, shared / (m + (SELECT sum(c) FROM its WHERE its.item_id = shared.item_id) - shared) AS similarity FROM shared)
+SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_min(start, (-similarity, start)) - 1 AS BIGINT) AS first_word,
+       CAST(any_value(m) + (SELECT k FROM i WHERE i.item_id = scored.item_id) - 1 AS BIGINT) AS n_words
+FROM scored WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+"""
