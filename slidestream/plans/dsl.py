@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from slidestream.fields import AggSchema, Field, Schema
 from slidestream.functions.scalar import Strategy
-from slidestream.operators import aggregate as agg
 from slidestream.operators import filters, joins, parse, project, windows
 from slidestream.sinks import text
 

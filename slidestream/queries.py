@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from slidestream import analytics
 from slidestream.fields import AggSchema, Field, Schema
-from slidestream.functions.scalar import diff, greater, money
+from slidestream.functions.scalar import diff, greater, money, split_tokens
 from slidestream.operators import aggregate, exchange, filters, joins, parse, project, windows
 from slidestream.plans.profit import profit_by_window, profit_of_sides
 from slidestream.sinks import text
@@ -108,13 +108,13 @@ def stream_window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_profit.run(sides(spark, sf_dir, stream=True), SIZE, SLIDE)
 
 
-def _side(df: DataFrame, name: str, pane: bool = True) -> tuple[DataFrame, Field, Field, Field]:
+def _side(df: DataFrame, name: str) -> tuple[DataFrame, Field, Field, Field]:
+    """Pane sums of one side, and the fields of its columns."""
     key, amount, ts = Field("ad_id", "int"), Field(name, "double"), Field("ts", "timestamp")
-    rows = df.select("ts", F.col("ad_id").alias(key.column), F.col("amount").alias(amount.column), F.col("ts").alias(ts.column), F.lit(1).alias("_one"))
-    agg = (windows.pane_aggregate if pane else windows.sliding_aggregate)
+    rows = df.select("ts", F.col("ad_id").alias(key.column), F.col("amount").alias(amount.column), F.col("ts").alias(ts.column))
     spec = AggSchema.of((key, "key"), (amount, "sum"), (ts, "max"))
     exact = rows.withColumn(amount.column, money(F.col(amount.column)))
-    return agg(exact, "ts", SIZE, SLIDE, spec), key, amount, ts
+    return windows.pane_aggregate(exact, "ts", SIZE, SLIDE, spec), key, amount, ts
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,8 +212,6 @@ def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT w AS token, count(*) AS n FROM (SELECT unnest(string_split_regex(o_orderpriority || '  ' || o_orderstatus, '[ ]+')) AS w FROM orders) WHERE w <> '' GROUP BY ALL")
 def token_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "orders").select(F.concat_ws("  ", "o_orderpriority", "o_orderstatus").alias("value"))
-    from slidestream.functions.scalar import split_tokens
-
     return lines.select(F.explode(split_tokens(F.col("value"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 

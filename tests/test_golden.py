@@ -163,3 +163,36 @@ def test_vectors(spark):
     out = io.StringIO()
     text.to_console_vectors(pairs, "v", out, first_only=True)
     assert out.getvalue() == "1 3\n"
+
+
+def test_console_pipeline(spark, capsys):
+    q = profit_query(timed(golden.ADS), timed(golden.CHECKOUTS), panes=True)
+    assert (q.joined | dsl.console_output(*q.output)).run(spark) == 28
+    assert len(capsys.readouterr().out.splitlines()) == 28
+
+
+def test_rate_and_console_streams(spark, tmp_path):
+    q = text.stream_console(generator.rate_stream(spark, 5), processingTime="500 milliseconds")
+    import time
+
+    time.sleep(3)
+    assert q.exception() is None and q.lastProgress is not None
+    q.stop()
+
+
+def test_lines_of_files(spark, tmp_path):
+    from slidestream.sources import batch
+
+    (tmp_path / "a.csv").write_text("1,2\n3,4\n")
+    assert [r.value for r in batch.csv_lines(spark, str(tmp_path / "a.csv")).collect()] == ["1,2", "3,4"]
+
+
+def test_processing_time_windows(spark):
+    """Without arrival times of their own, rows are in the windows of the moment their batch runs."""
+    from slidestream.fields import AggSchema, Field
+    from slidestream.operators import windows
+
+    key, one = Field("k", "int"), Field("n", "long")
+    df = spark.range(10).select((F.col("id") % 2).cast("int").alias(key.column), F.lit(1).alias(one.column), F.current_timestamp().alias("now"))
+    out = windows.sliding_aggregate(df, "now", 5000, 1000, AggSchema.of((key, "key"), (one, "sum"))).collect()
+    assert len(out) == 10 and all(r[one.column] == 5 for r in out)
