@@ -75,7 +75,9 @@ def total(c: str | Column) -> Column:
 
 
 def millis(c: Column) -> Column:
-    return F.unix_millis(c.cast("timestamp"))
+    """Milliseconds since 1970 of a time without zone, whatever the session's zone."""
+    since = (c - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")).cast("interval second").cast("decimal(18,6)")
+    return F.floor(since * 1000).cast("long")
 
 
 _E = "e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS ad_id FROM events)"
