@@ -101,11 +101,10 @@ def candidates(text: str) -> list[Span]:
             a, b = region.span()
             if b - a < 7:
                 continue
-            for kind, pattern in ((CARD, _ANY_CARD), (PHONE, _ANY_PHONE), (IP, _SPELLED_IP)):
-                for m in pattern.finditer(text, a):
-                    if m.start() >= b:
-                        break
-                    out.add((m.start(), kind, m.end()))
+            for kind, pattern in ((CARD, _ANY_CARD), (PHONE, _ANY_PHONE)):
+                out.update((m.start(), kind, m.end()) for m in pattern.finditer(text, a, b + 1))  # the character after it is in sight
+        if any(x in text for x in ("[.]", "(.)", "[dot]")):
+            out.update((m.start(), IP, m.end()) for m in _SPELLED_IP.finditer(text))
     if "::" in text or text.count(":") > 3:
         for m in _COLONS.finditer(text):
             if m.end() - m.start() > 4 and _DIGIT.search(m.group()):
