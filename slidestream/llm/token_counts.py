@@ -75,10 +75,17 @@ class CountTree:
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replaces characters ``start`` to ``end - 1`` by ``new``."""
-        first, at = self._leaf_at(start)
-        last = self._leaf_at(max(start, end - 1))[0]
-        text = "".join(self.leaves[first : last + 1])
-        text = text[: start - at] + new + text[end - at :]
+        self._rewrite([(start, end, new)])
+
+    def _rewrite(self, edits: list[Edit]) -> None:
+        """Edits that touch the same leaves, as one region."""
+        first, at = self._leaf_at(edits[0][0])
+        last = self._leaf_at(max(edits[-1][0], edits[-1][1] - 1))[0]
+        old, out, done = "".join(self.leaves[first : last + 1]), [], 0
+        for start, end, new in edits:
+            out += [old[done : start - at], new]
+            done = end - at
+        text = "".join([*out, old[done:]])
         while True:  # context: until both borders are safe again
             left = next((k for k in range(first - 1, -1, -1) if self.leaves[k]), None)
             right = next((k for k in range(last + 1, len(self.leaves)) if self.leaves[k]), None)
@@ -94,9 +101,17 @@ class CountTree:
         self._set(first, text)
 
     def apply(self, edits: list[Edit]) -> None:
-        """Edits in ascending order, without overlap, by offsets of the text as it was."""
-        for start, end, new in reversed(edits):
-            self.edit(start, end, new)
+        """Edits in ascending order, without overlap, by offsets of the text as it was. Each leaf is encoded once for all edits in it."""
+        groups: list[tuple[list[Edit], int]] = []
+        for e in edits:
+            first, last = self._leaf_at(e[0])[0], self._leaf_at(max(e[0], e[1] - 1))[0]
+            if groups and first <= groups[-1][1]:
+                groups[-1][0].append(e)
+                groups[-1] = (groups[-1][0], max(last, groups[-1][1]))
+            else:
+                groups.append(([e], last))
+        for group, _ in reversed(groups):
+            self._rewrite(group)
 
 
 _ADDRESS = re.compile(r"(?<!\S)[^\s@]++@\S+")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidestream.llm.common import arrow_map, texts
-from slidestream.shared import cut, new_folder
+from slidestream.shared import cut
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -300,6 +300,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             data = to_bytes(np.array([d for d, _ in held], np.int64), np.array([len(x) for _, x in held]), np.concatenate([x for _, x in held]))
             with fs.open_output_stream(own := f"{name}.{uuid.uuid4().hex}") as f:
                 f.write(data)
+            if fs.get_file_info(name).type != pa.fs.FileType.NotFound:  # of an earlier attempt; not every store renames over a file
+                fs.delete_file(name)
             fs.move(own, name)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [f"{folder}/part-{part:06d}-{seq:05d}.dac"], "n_docs": pa.array([len(held)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 

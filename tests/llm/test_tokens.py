@@ -162,6 +162,15 @@ def test_an_edit_encodes_little():
     assert tree.encoded_chars < 3 * token_counts.LEAF_CHARS and tree.total == len(enc.encode_ordinary(tree.text()))
 
 
+def test_many_edits_of_one_leaf_are_one():
+    enc = bpe.encoding(SINGLE)
+    text = "12345a" * 50_000  # nowhere to cut
+    tree = token_counts.CountTree(text, lambda s: len(enc.encode_ordinary(s)))
+    edits = token_counts.mask_edits(text)
+    tree.apply(edits)
+    assert len(edits) == 50_001 and tree.encoded_leaves == 1 and tree.total == len(enc.encode_ordinary(edited(text, edits)))
+
+
 def test_counts(spark):
     df, rows = data.documents(spark, [*data.texts(), "mail a@b.c and 1234567 here", "@ @x 12345", "12345@67890"])
     enc = bpe.encoding(SINGLE)
