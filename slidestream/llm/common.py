@@ -13,6 +13,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from slidestream.shared import ship
+
 #: Bytes of an Arrow batch that Spark hands to Python; a row larger than that is a batch of its own.
 BYTES_PER_BATCH = 4 << 20
 #: Entries that a worker's cache of words may hold before it starts anew.
@@ -21,6 +23,7 @@ CACHE_ENTRIES = 300_000
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over batches of bounded size."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
     return df.mapInArrow(fn, schema)
 
