@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package's modules to Python workers, unless the search path that they inherit has it. Once for a Spark context."""
+    package, sc = Path(__file__).resolve().parent, spark.sparkContext
+    on_path = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if package.parent in on_path or getattr(sc, "_slidestream", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="slidestream-")) / "slidestream.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(archive))  # the driver serves it to executors
+    sc._slidestream = True
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """The name of a folder that isn't there yet."""
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"

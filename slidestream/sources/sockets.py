@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from slidestream.operators.exchange import union_ranks
+from slidestream.shared import ship
 
 #: Two ports for each rank, ads first. Fixed values.
 AD_PORT, CHECKOUT_PORT, PORTS_PER_RANK = 12345, 12346, 2
@@ -92,6 +93,7 @@ class ReplaySocket(DataSource):
 
 
 def replay_socket_lines(spark: SparkSession, port: int, host: str = "127.0.0.1") -> DataFrame:
+    ship(spark)
     spark.dataSource.register(ReplaySocket)
     return spark.readStream.format("replay_socket").option("host", host).option("port", port).load()
 
