@@ -90,12 +90,12 @@ _COLONS = re.compile(r"(?<![\w:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\
 def candidates(text: str) -> list[Span]:
     """All proposals, in any order; they may overlap."""
     out: set[Span] = set()
-    if "@" in text or ("dot" in text or "DOT" in text) or "[.]" in text or "(.)" in text:
+    if "@" in text or "at" in text or "AT" in text:  # every match of _AT has one of them
         for m in _AT.finditer(text):
-            left = max(0, m.start() - 130)
-            name, host = _NAME_END.search(text[left : m.start()]), _HOST.match(text, m.end())
-            if name and host:
-                out.add((left + name.start(), EMAIL, host.end()))
+            if host := _HOST.match(text, m.end()):
+                left = max(0, m.start() - 130)
+                if name := _NAME_END.search(text[left : m.start()]):
+                    out.add((left + name.start(), EMAIL, host.end()))
     if _DIGIT.search(text):
         for region in _REGION.finditer(text):
             a, b = region.span()
@@ -272,16 +272,40 @@ def _snippets(n: int, rng: np.random.Generator) -> Iterator[tuple[str, list[tupl
 
 
 @dataclass
-class Judge:
+class Scorer:
     trees: Trees
     scale: float
     shift: float
-    thresholds: tuple[float, ...]
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.scale * self.trees.margin(x) + self.shift)))
 
 
+def _scorer(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Scorer:
+    """Trees of the rows not held, with probabilities by those held."""
+    trees = boost(x[~held], y[~held])
+    z, t = trees.margin(x[held]), y[held]
+    a, b = 1.0, 0.0
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-(a * z + b)))
+        w = p * (1 - p) + 1e-6
+        step = np.linalg.solve([[np.sum(w * z * z), np.sum(w * z)], [np.sum(w * z), np.sum(w)]], [np.sum((p - t) * z), np.sum(p - t)])
+        a, b = a - step[0], b - step[1]
+    return Scorer(trees, float(a), float(b))
+
+
+@dataclass
+class Judge:
+    """Addresses have trees of their own: what is proposed for them doesn't change the verdict on numbers."""
+
+    email: Scorer
+    numbers: Scorer
+    thresholds: tuple[float, ...]
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        return np.where(x[:, EMAIL] > 0, self.email.probabilities(x), self.numbers.probabilities(x))
+
+
 @lru_cache(maxsize=1)
 def judge(snippets: int = 5000, seed: int = 11, precision: float = PRECISION) -> Judge:
     """Two thirds of the candidates train the trees, a third calibrates them."""
@@ -295,17 +319,11 @@ def judge(snippets: int = 5000, seed: int = 11, precision: float = PRECISION) ->
             rows.append(features(text, c))
             labels.append(any(min(b, c[2]) - max(a, c[0]) >= 0.9 * max(b - a, c[2] - c[0]) for a, b in spans))
     x, y = np.array(rows, np.float64), np.array(labels, np.float64)
-    held = np.arange(len(y)) % 3 == 2
-    trees = boost(x[~held], y[~held])
-    z, t = trees.margin(x[held]), y[held]
-    a, b = 1.0, 0.0
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-(a * z + b)))
-        w = p * (1 - p) + 1e-6
-        step = np.linalg.solve([[np.sum(w * z * z), np.sum(w * z)], [np.sum(w * z), np.sum(w)]], [np.sum((p - t) * z), np.sum(p - t)])
-        a, b = a - step[0], b - step[1]
-    out = Judge(trees, float(a), float(b), ())
-    p, kinds = out.probabilities(x[held]), x[held][:, :4].argmax(axis=1)
+    email, held = x[:, EMAIL] > 0, np.zeros(len(y), bool)
+    for own in (email, ~email):
+        held[own] = np.arange(own.sum()) % 3 == 2
+    out = Judge(*[_scorer(x[own], y[own], held[own]) for own in (email, ~email)], ())
+    p, t, kinds = out.probabilities(x[held]), y[held], x[held][:, :4].argmax(axis=1)
     limits = []
     for kind in range(4):
         own, right = p[kinds == kind], t[kinds == kind]

@@ -62,6 +62,17 @@ def test_more_forms_and_look_alikes():
         assert more(t) == [], t
 
 
+def test_spelled_out_addresses_need_no_other_word():
+    """A spelled-out 'at' with a plain '.' is proposed and selected whatever else the text holds."""
+    by = pii.judge()
+    for address in ("john.doe [at] example.com", "jane(at)example.org", "jo.doe[at]example.net", "bo_li{at}example.com", "jo.doe (AT) example.de"):
+        for text in (f"mail {address} now", f"write to {address} please", f"mail {address} now, dotted"):
+            a = text.index(address)
+            span = (a, pii.EMAIL, a + len(address))
+            assert span in pii.candidates(text) and pii.more_spans(text, pii.base_spans(text), by) == [span], text
+    assert (5, pii.EMAIL, 24) in pii.candidates("mail jane at example.com now")
+
+
 def test_held_out_accuracy():
     """On snippets of another seed: nearly all that is selected is personal, and most of what is personal is selected."""
     import numpy as np
