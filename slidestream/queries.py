@@ -347,6 +347,14 @@ def hash_join_one_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.multi_join(orders, lines, "o_orderkey", "l_orderkey").drop("l_orderkey")
 
 
+@query("SELECT o_orderkey, o_custkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def hash_join_one_to_many_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of whole tables."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return joins.multi_join(orders, lines, "o_orderkey", "l_orderkey").drop("l_orderkey")
+
+
 @query("WITH p AS (SELECT l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45), s AS (SELECT l_partkey AS part, l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity <= 5) SELECT l_partkey, l_suppkey, count(*) AS n FROM p JOIN s ON l_partkey = part GROUP BY ALL")
 def hash_join_many_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
@@ -355,6 +363,14 @@ def hash_join_many_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.multi_join(p, s, "l_partkey", "part").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
 
 
+@query("SELECT p.l_partkey, s.l_suppkey, count(*) AS n FROM lineitem p JOIN lineitem s ON p.l_partkey = s.l_partkey GROUP BY ALL")
+def hash_join_many_to_many_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of two lines of a part, of the whole table; pairs are joined first and counted then."""
+    lines = table(spark, sf_dir, "lineitem")
+    p, s = lines.select("l_partkey"), lines.select(F.col("l_partkey").alias("part"), "l_suppkey")
+    return joins.multi_join(p, s, "l_partkey", "part").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {_E}, {_ADS}, {_CHECKOUTS},
 a AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w_start, ad_id, sum(CAST(amount AS DECIMAL(18,2))) AS cost, max(ts) AS ts, max(event_id) AS seen FROM ads GROUP BY ALL),
 c AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w_start, ad_id, sum(CAST(amount AS DECIMAL(18,2))) AS value, max(ts) AS ts, max(event_id) AS seen FROM checkouts WHERE ad_id <> 0 GROUP BY ALL)
