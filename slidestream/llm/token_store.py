@@ -181,14 +181,18 @@ class PieceEncoder:
     stands between two spaces, with the first of them; a part is a run of white space with the letters or other characters after it.
     A text where a space follows other white space is cut by the pattern of parts, and one with white space besides space, tab and line
     ends is one piece. Keys of pieces that don't start with a space are marked by a zero character.
+
+    With ``added``, a text that holds an added token's literal goes to the library whole, which gives that token as it does by default;
+    else such a literal is encoded as any other characters.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # in the byte-level alphabet a character is a byte
         for token, k in vocab.items():
@@ -257,7 +261,24 @@ class PieceEncoder:
         ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
         self.pieces.add(flat, np.diff(ends))
 
+    def _whole(self, batch: list[str]) -> list[np.ndarray]:
+        """Ids by the library's defaults."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def encode(self, batch: list[str]) -> list[np.ndarray]:
+        whole = {k: t for k, t in enumerate(batch) if any(x in t for x in self.literals)}
+        if not whole:
+            return self._by_pieces(batch)
+        out = self._by_pieces(["" if k in whole else t for k, t in enumerate(batch)])
+        for k, ids in zip(whole, self._whole(list(whole.values()))):
+            out[k] = ids
+        return out
+
+    def _by_pieces(self, batch: list[str]) -> list[np.ndarray]:
         if len(self.pieces) > PIECES:
             self.pieces = self.pieces.shrunk(PIECES // 2)
         if len(self.parts) > PIECES:
@@ -274,7 +295,7 @@ class PieceEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+    return PieceEncoder(path, added=True)
 
 
 # ---------------------------------------------------------------- writing and reading
@@ -285,7 +306,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
     Ascending (part, seq) is ascending doc_id. Each document is its ids and ``end_id``; a null or empty text is ``end_id`` alone. A null
     doc_id sorts first. Rows that share a doc_id are stored one after the other. Other columns are ignored; an empty table gives no
-    files. A file is written under another name and renamed, so a repeated task replaces whole files by equal ones.
+    files. Ids are the library's by default, so the literal of an added token is that token. A file is written under another name and
+    renamed, so a repeated task replaces whole files by equal ones.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
 

@@ -114,6 +114,25 @@ def test_store(spark, tokenizer, tmp_path, file_tokens):
     assert not [p for p in (tmp_path / "store").iterdir() if not p.name.endswith(".dac")]
 
 
+def test_added_tokens_are_the_librarys(spark, tmp_path):
+    """Against a tokenizer as it comes from the file."""
+    plain = Tokenizer.from_file(JSON)
+    rng = random.Random(3)
+    alphabet = ["a", " ", " ", "\n", "\t", "!", "é", "\x1c", "\0", "<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "<", "漢", "Word"]
+    batch = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>.", "no literal", ""] + ["".join(rng.choices(alphabet, k=rng.randint(0, 12))) for _ in range(2000)]
+    e = token_store.encoder(JSON)
+    for _ in range(2):  # the second time from the cache
+        for t, x, y in zip(batch, e.encode(batch), plain.encode_batch(batch, add_special_tokens=False)):
+            assert x.tolist() == y.ids, t
+    df = spark.createDataFrame(list(enumerate(batch[:300])), "doc_id long, text string")
+    got = {r.doc_id: (r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in token_store.read_tokens(token_store.write_tokens(df, f"file://{tmp_path}/added")).collect()}
+    at = 0
+    for i, t in enumerate(batch[:300]):
+        ids = plain.encode(t, add_special_tokens=False).ids + [2]
+        assert got[i] == (at, ids), t
+        at += len(ids)
+
+
 def test_store_of_nothing(spark, tmp_path):
     m = token_store.write_tokens(data.empty(spark), f"file://{tmp_path}/none")
     assert token_store.read_tokens(m).count() == 0
