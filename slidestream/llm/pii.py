@@ -65,7 +65,7 @@ def base_spans(text: str) -> list[Span]:
             done = m.end()
         at = text.find("@", max(at + 1, done))
     if _DIGIT.search(text):
-        out += [(m.start(), IP, m.end()) for m in _IP.finditer(text) if all(len(p) < 5000 and int(p) <= 255 for p in m.group().split("."))]
+        out += [(m.start(), IP, m.end()) for m in _IP.finditer(text) if all(len(p) < 4 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m.group().split(".")))]
         for m in _CARD.finditer(text):
             digits = digits_of(m.group())
             if 12 <= len(digits) <= 19 and luhn(digits):

@@ -35,6 +35,12 @@ def test_base_equals_the_patterns():
         assert pii.base_spans(t) == plain(t)
 
 
+def test_ip_parts_of_any_length():
+    for part, right in (("0" * 4999 + "7", True), ("0" * 6000 + "255", True), ("0" * 6000, True), ("0" * 6000 + "256", False), ("1" * 4500, False), ("9" * 6000, False)):
+        for text in (f"{part}.1.2.3", f"1.2.3.{part}"):
+            assert [s for s in pii.base_spans(text) if s[1] == pii.IP] == ([(0, pii.IP, len(text))] if right else []), (len(part), part[-3:])
+
+
 def test_documents(spark):
     df, rows = data.documents(spark, CASES + data.texts())
     got = {}
