@@ -169,3 +169,14 @@ def test_window_detection_and_deltas(spark):
     assert sorted((x.ad_id, x.t, x.delta) for x in deltas.where("ad_id = 1").collect()) == [(1, 10, None), (1, 20, 10), (1, 30, 10)]
     assert list(analytics.delta_faults([(1, 0), (1, 50), (2, 1000), (2, 1500), (3, 5000)])) == [3, 4]
     assert analytics.same_rows(df, df) and not analytics.same_rows(df, df.limit(1))
+
+
+def test_confidence_interval_of_many_runs(spark):
+    """Printed 97.5 % quantiles of Student's t; one run and none with a value have no interval."""
+    quantiles = {2: 12.706, 11: 2.228, 12: 2.201, 13: 2.179, 21: 2.086, 31: 2.042, 61: 2.000, 121: 1.980}
+    rows = [(n, float(k)) for n in quantiles for k in range(n)] + [(1, 5.0), (0, None)]
+    got = {r.n: r for r in analytics.mean_ci95(spark.createDataFrame(rows, "n int, s double"), "s", "n").collect()}
+    for n, t in quantiles.items():
+        assert got[n]["mean"] == pytest.approx((n - 1) / 2)
+        assert got[n].half_width / (n * (n + 1) / 12 / n) ** 0.5 == pytest.approx(t, abs=0.0006), n
+    assert got[1].half_width is None and got[0].half_width is None
