@@ -3,6 +3,9 @@
 A long text is cut where no match of the pattern can cross: before a space or line feed that follows a character which is not white
 space. No alternative of the pattern matches such a pair of characters inside, and none looks behind, so the parts' ids in a row are the
 text's ids.
+
+A long run of white space is one match of the pattern, less its last character where something follows. The library's pattern engine
+keeps a state for each of its characters and gives up at a million, so such a run is merged as one piece without the pattern.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Code points from which a text is cut into parts.
 LONG_CHARS = 1 << 16
 _BOUNDARY = re.compile(r"(?<=\S)(?=[ \n])")
+#: From so many characters a run of white space bypasses the pattern.
+RUN_CHARS = 1 << 12
+#: Unicode's White_Space, which is what the pattern takes for \\s. Fixed values.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN_CHARS)
 
 
 @lru_cache(maxsize=4)
@@ -48,12 +55,25 @@ def parts(text: str, long_chars: int = LONG_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
+def encode_part(enc: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a text, its long runs of white space as pieces of their own."""
+    if len(text) < RUN_CHARS:
+        return enc.encode_ordinary(text)
+    out, at = [], 0
+    for run in _RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))  # what follows takes the last one, or matches without it
+        out += enc.encode_ordinary(text[at : run.start()])
+        out += enc._encode_single_piece(text[run.start() : end].encode())
+        at = end
+    return out + enc.encode_ordinary(text[at:])
+
+
 def encode(text: str, path: str, long_chars: int = LONG_CHARS) -> np.ndarray:
     """uint32 ids, without special tokens."""
     enc = encoding(path)
     if len(text) <= long_chars:
-        return np.array(enc.encode_ordinary(text), np.uint32)
-    return np.concatenate([np.array(enc.encode_ordinary(p), np.uint32) for p in parts(text, long_chars)])
+        return np.array(encode_part(enc, text), np.uint32)
+    return np.concatenate([np.array(encode_part(enc, p), np.uint32) for p in parts(text, long_chars)])
 
 
 def decode(ids: np.ndarray, path: str) -> bytes:
@@ -62,7 +82,11 @@ def decode(ids: np.ndarray, path: str) -> bytes:
 
 
 def encode_documents(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """``(doc_id, n_tokens, ids)``; ids are little-endian uint32 bytes. A null text counts as empty (no ids). Other columns are ignored."""
+    """``(doc_id, n_tokens, ids)``; ids are little-endian uint32 bytes.
+
+    Null and empty texts have no ids; a null doc_id stays null; repeated rows give repeated results; other columns are ignored; an empty
+    table gives no rows. Texts of any length are encoded whole.
+    """
     path = ranks or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,12 +98,16 @@ def encode_documents(docs: DataFrame, ranks: str | None = None) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
-    """``(doc_id, text_bytes)`` of ``encode_documents``'s result."""
+    """``(doc_id, text_bytes)`` of ``encode_documents``'s result.
+
+    Null and empty ids give no bytes; repeated rows give repeated results; other columns are ignored; an empty table gives no rows. An id
+    that the rank file doesn't have is an error of the library.
+    """
     path = ranks or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [decode(np.frombuffer(x, "<u4"), path) for x in b.column(1).to_pylist()]
+            out = [decode(np.frombuffer(x or b"", "<u4"), path) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "text_bytes"])
 
     return arrow_map(encoded.select("doc_id", "ids"), run, "doc_id long, text_bytes binary")
