@@ -50,7 +50,7 @@ ORACLE_SQL["op4_line_dedup"] = line_dedup.SQL.format(documents="documents")
 
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(documents(spark, sf_dir))
+    return token_counts.token_counts(documents(spark, sf_dir), new_folder(spark, "trees"))
 
 
 @query

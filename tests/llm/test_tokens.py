@@ -9,6 +9,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from slidestream.llm import bpe, token_counts, token_store
@@ -170,7 +171,7 @@ def test_edits_equal_a_new_count(text, raw, leaf):
     assert tree.total == len(enc.encode_ordinary(text))
     tree.apply(edits)
     assert tree.text() == edited(text, edits)
-    assert tree.total == len(enc.encode_ordinary(tree.text())) and tree.chars[1] == len(tree.text())
+    assert tree.total == len(enc.encode_ordinary(tree.text())) and tree.root.chars == len(tree.text())
 
 
 def test_an_edit_encodes_little():
@@ -187,17 +188,114 @@ def test_many_edits_of_one_leaf_are_one():
     tree = token_counts.CountTree(text, lambda s: len(enc.encode_ordinary(s)))
     edits = token_counts.mask_edits(text)
     tree.apply(edits)
-    assert len(edits) == 50_001 and tree.encoded_leaves == 1 and tree.total == len(enc.encode_ordinary(edited(text, edits)))
+    assert len(edits) == 50_001 and tree.encoded_chars == len(tree.text()) and tree.total == len(enc.encode_ordinary(edited(text, edits)))
 
 
-def test_counts(spark):
-    df, rows = data.documents(spark, [*data.texts(), "mail a@b.c and 1234567 here", "@ @x 12345", "12345@67890"])
+def depth(node):
+    return 0 if node.left is None else 1 + max(depth(node.left), depth(node.right))
+
+
+def test_leaves_stay_short():
+    """Edits of all sizes, half of them at one place: leaves, their number and the depth stay in bounds, and counts right."""
+    enc, rng = bpe.encoding(SINGLE), random.Random(6)
+    text = data.prose(rng, 40_000)
+    tree = token_counts.CountTree(text, lambda s: len(enc.encode_ordinary(s)))
+    for k in range(1000):
+        a = 5000 if k % 2 else rng.randrange(len(text))
+        b = min(len(text), a + rng.choice([0, 0, 3, 40, 200]))
+        new = rng.choice(["", "x", " word", "\n", data.prose(rng, 5), data.prose(rng, 400) if k % 50 == 0 else " "])
+        tree.edit(a, b, new)
+        text = text[:a] + new + text[b:]
+    assert tree.text() == text and tree.total == len(enc.encode_ordinary(text)) and tree.root.chars == len(text)
+    assert max(map(len, tree.leaves)) <= 4 * token_counts.LEAF_CHARS
+    assert len(tree.leaves) < 12 * len(text) / token_counts.LEAF_CHARS and depth(tree.root) < 40
+    before = tree.encoded_chars
+    tree.edit(5000, 5001, "q")
+    assert tree.encoded_chars - before <= 6 * token_counts.LEAF_CHARS
+    for _ in range(3):  # a long insert becomes many leaves
+        tree.edit(7000, 7000, data.prose(rng, 15_000))
+    assert max(map(len, tree.leaves)) <= 4 * token_counts.LEAF_CHARS
+
+
+def test_mask_edits_are_linear():
+    import time
+
+    text = ("a@" + "b" * 5000 + " 1234567 ") * 400 + "x@" + "1" * 2_000_000
+    began = time.time()
+    edits = token_counts.mask_edits(text)
+    assert time.time() - began < 5 and len(edits) == 802
+
+
+def counted(rows):
     enc = bpe.encoding(SINGLE)
-    want = []
-    for i, t, *_ in rows:
-        t = t or ""
-        edits = token_counts.mask_edits(t)
-        want.append((str(i), len(enc.encode_ordinary(t)), len(edits), len(enc.encode_ordinary(edited(t, edits)))))
-    assert sorted((str(r.doc_id), r.n_tokens, r.n_edits, r.n_tokens_edited) for r in token_counts.token_counts(df).collect()) == sorted(want)
-    assert token_counts.token_counts(data.empty(spark)).count() == 0
-    assert isinstance(enc, tiktoken.Encoding)
+    return sorted((str(i), len(enc.encode_ordinary(t or "")), len(e := token_counts.mask_edits(t or "")), len(enc.encode_ordinary(edited(t or "", e)))) for i, t, *_ in rows)
+
+
+def test_counts(spark, tmp_path):
+    df, rows = data.documents(spark, [*data.texts(), "mail a@b.c and 1234567 here", "@ @x 12345", "12345@67890"])
+    got = token_counts.token_counts(df, f"file://{tmp_path}/trees").collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_edits, r.n_tokens_edited) for r in got) == counted(rows)
+    assert token_counts.token_counts(data.empty(spark), f"file://{tmp_path}/none").count() == 0
+    assert isinstance(bpe.encoding(SINGLE), tiktoken.Encoding)
+
+
+def test_stored_trees_take_edits(spark, tmp_path):
+    """Two rounds of edits on stored trees: the counts of the edited texts, and the texts are never encoded whole."""
+    rng, enc = random.Random(8), bpe.encoding(SINGLE)
+    texts = {1: data.prose(rng, 5000), 2: "", 3: None, 4: data.prose(rng, 60), 5: "same"}
+    rows = [*texts.items(), (5, "same"), (None, "no id")]
+    trees = token_counts.build_trees(spark.createDataFrame(rows, "doc_id int, text string"))
+    trees.write.parquet(f"{tmp_path}/0")
+    edits = [(1, 100, 110, "XX"), (1, 105, 200, "overlaps"), (1, 20_000, 20_000, " word "), (2, 0, 9, "new text"), (3, -5, 0, "a"), (4, 10**9, 10**9, " end"), (4, 3, None, "null"), (9, 0, 0, "nobody"), (None, 0, 0, "x"), (5, 0, 4, "")]
+    want = {1: (texts[1][:100] + "XX" + texts[1][110:20_000] + " word " + texts[1][20_000:]), 2: "new text", 3: "a", 4: texts[4] + " end", 5: "", None: "no id"}
+    for k in range(2):
+        out = token_counts.edit_trees(spark.read.parquet(f"{tmp_path}/{k}"), spark.createDataFrame(edits, "doc_id int, start int, `end` int, new string").withColumn("leaves", F.lit("mine")))
+        out.write.parquet(f"{tmp_path}/{k + 1}")
+        got = spark.read.parquet(f"{tmp_path}/{k + 1}").collect()
+        assert sorted((str(r.doc_id), "".join(r.leaves), r.n_tokens_edited, sum(r.counts)) for r in got) == sorted((str(i), want[i], n := len(enc.encode_ordinary(want[i])), n) for i in [*texts, 5, None])
+        assert next(r.n_chars_encoded for r in got if r.doc_id == 1) < 5000
+        edits = [(1, 0, 0, "start "), (4, 0, 1, "")]
+        want |= {1: "start " + want[1], 4: want[4][1:]}
+
+
+# ---------------------------------------------------------------- runs of white space
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([" ", "\n", "\t", "\u3000", "\xa0", " \n", "\x1c", "a", "!", "é1", "'s"]), st.integers(1, 9)), max_size=12))
+def test_runs_are_matches_of_the_pattern(raw):
+    text, enc = "".join(s * n for s, n in raw), bpe.encoding(MULTI)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(bpe, "RUN_CHARS", 3)
+        m.setattr(bpe, "_RUN", bpe.re.compile(bpe._RUN.pattern.replace("4096", "3")))
+        assert bpe.encode_part(enc, text) == enc.encode_ordinary(text)
+
+
+LONG_RUNS = [" " * 1_000_000, "\n" * 3_000_000, "a" + " " * 2_000_000 + "b c", "x\n" + " \n\t\u3000" * 400_000 + "\n\ny", (" " * 1_200_000 + "z") * 2 + "\r" * 1_100_000]
+
+
+@pytest.mark.parametrize("text", LONG_RUNS, ids=range(len(LONG_RUNS)))
+def test_runs_of_a_million(text):
+    """By the pattern's meaning: a run is one match, less the last character where something follows."""
+    import re
+
+    for path in (MULTI, SINGLE):
+        enc = bpe.encoding(path)
+        want = []
+        for m in re.finditer(r"\s+(?!\S)|\s?\S+", text):  # ids of shorter matches are the library's own
+            want += enc._encode_single_piece(m.group().encode()) if m.group().isspace() else enc.encode_ordinary(m.group())
+        assert bpe.encode(text, path).tolist() == want and bpe.decode(np.array(want, np.uint32), path) == text.encode()
+
+
+def test_runs_in_tables(spark, tmp_path):
+    rows = list(enumerate(LONG_RUNS[:3]))
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: r.decoded_sha256 for r in bpe.round_trip(df).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows}
+    counts = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, f"file://{tmp_path}/runs").collect()}
+    assert counts == {i: len(bpe.encode(t, SINGLE)) for i, t in rows}
+
+
+def test_decode_of_nulls(spark):
+    df = spark.createDataFrame([(1, None), (2, b""), (None, None)], "doc_id long, ids binary")
+    assert [bytes(r.text_bytes) for r in bpe.decode_documents(df).collect()] == [b"", b"", b""]
