@@ -1,18 +1,25 @@
 """Personal data: exact base patterns, and candidates judged by gradient-boosted trees.
 
 Generators with high recall propose spans in forms that the base patterns don't take (spelled-out addresses, national phone numbers,
-cards with other separators, IPv6), overlaps included. Boosted trees judge them by format and context, a calibration fold turns margins
-into probabilities, and each kind's threshold is the least with the precision asked for. Of overlapping candidates the likeliest stays,
-and none overlaps a base span. The trees are trained on generated snippets, never on the corpus, so the model is the same everywhere.
+cards with other separators, IPv6) or drop with their surroundings (a card or number next to other digits), overlaps included. Boosted
+trees judge them by format and context, calibration turns margins into probabilities, and each kind's threshold is the least with the
+precision asked for. Of overlapping candidates the likeliest stays, and none overlaps a base span.
+
+The model is a file, ``pii_model.json``, made by ``pii_train``: trees from one generator of snippets, calibration and thresholds from
+another one with other contexts and forms. It doesn't depend on the corpus, so it is the same everywhere.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +30,7 @@ from slidestream.llm.common import arrow_map, texts
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
-#: Of the calibration fold's selected candidates, the share that must be personal data.
-PRECISION = 0.99
+MODEL = Path(__file__).with_name("pii_model.json")
 Span = tuple[int, int, int]  # start, kind, end
 
 _DIGIT = re.compile("[0-9]")
@@ -38,14 +44,13 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # ---------------------------------------------------------------- base
 
 
+_DOUBLED = bytes(48 + 2 * d - 9 * (d > 4) for d in range(10))
+_DOUBLE = bytes.maketrans(b"0123456789", _DOUBLED)
+
+
 def luhn(digits: str) -> bool:
-    total = 0
-    for k, c in enumerate(reversed(digits)):
-        d = ord(c) - 48
-        if k % 2:
-            d = 2 * d - 9 * (d > 4)
-        total += d
-    return total % 10 == 0
+    d = digits.encode()
+    return (sum(d[::-2]) + sum(d[-2::-2].translate(_DOUBLE)) - 48 * len(d)) % 10 == 0
 
 
 def digits_of(s: str) -> str:
@@ -78,38 +83,84 @@ def base_spans(text: str) -> list[Span]:
 
 _AT = re.compile(r"\s?[\[({]\s?(?:at|AT|@)\s?[\])}]\s?|\s(?:at|AT)\s|\s?@\s?")
 _DOT = r"(?:\s?[\[({]\s?(?:dot|DOT|\.)\s?[\])}]\s?|\s(?:dot|DOT)\s|\.)"
-_NAME_END = re.compile(r"[\w+-]{1,64}(?:(?:" + _DOT + r")[\w+-]{1,64}){0,3}$")
+_BACK_DOT = r"(?:\s?[\])}]\s?(?:tod|TOD|\.)\s?[\[({]\s?|\s(?:tod|TOD)\s|\.)"
+_BACK_NAME = re.compile(r"[\w+-]{1,64}(?:" + _BACK_DOT + r"[\w+-]{1,64}){0,3}")  # of a reversed text
 _HOST = re.compile(r"[\w-]{1,63}(?:" + _DOT + r"[\w-]{1,63}){1,5}")
-_REGION = re.compile(r"[0-9(][0-9 ()./_\[\]–-]*[0-9]")
-_ANY_CARD = re.compile(r"(?<!\w)[0-9](?:[ ._/–-]{0,3}[0-9]){11,18}(?!\w)")
-_ANY_PHONE = re.compile(r"(?<![\w.+-])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ ./()–-]{1,2}[0-9]{2,6}){1,4}(?![\w-])")
-_SPELLED_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}){3}(?![\w.])")
+_GROUPS = re.compile(r"[0-9]+(?:[ ._/()–-]{1,3}[0-9]+)*")
+_GROUP = re.compile("[0-9]+")
+_SPELLED_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}){3}(?!\w|[\[(.][0-9d.])")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){4,}")
 _COLONS = re.compile(r"(?<![\w:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
 
 
-def candidates(text: str) -> list[Span]:
-    """All proposals, in any order; they may overlap."""
-    out: set[Span] = set()
+#: Groups of digits that a card or phone number has at most.
+GROUPS = 6
+
+
+def _of_groups(text: str) -> Iterator[Span]:
+    """Cards and phone numbers: from each group of digits, up to every group end with a fitting number of digits. Cards must pass Luhn;
+    phone numbers start with +, 0 or (, or have 9 or 10 digits in two to four groups."""
+    for run in _GROUPS.finditer(text):
+        a, b = run.span()
+        if b - a < 7:
+            continue
+        groups = [m.span() for m in _GROUP.finditer(text, a, b)]
+        if text[a - 1 : a].isalpha():  # part of a word
+            groups = groups[1:]
+        if text[b : b + 1].isalpha():
+            groups = groups[:-1]
+        for k, (start, _) in enumerate(groups):
+            digits, narrow, fours = "", True, True
+            before = text[start - 1 : start]
+            bracket = before == "("
+            plus = before == "+" or (bracket and text[start - 2 : start - 1] == "+")
+            apart = k == 0 or before == " " or bracket
+            marked = bracket or text[start] == "0"
+            for n, (x, y) in enumerate(groups[k : k + GROUPS]):
+                digits += text[x : min(y, x + 20)]
+                size = len(digits)
+                if size > 19:
+                    break
+                narrow, fours = narrow and y - x < 8, fours and y - x <= 4
+                if size >= 12 and (apart or fours) and luhn(digits):
+                    yield start, CARD, y
+                if 7 <= size <= 15 and (plus or (n and narrow and apart and (marked or (n < 4 and 9 <= size <= 10)))):
+                    yield start - (2 if plus and bracket else 1 if plus or bracket else 0), PHONE, y
+
+
+def overlaps(base: list[Span]) -> Callable[[int, int], bool]:
+    """Whether a stretch of text shares characters with one of the spans, which are sorted by start."""
+    starts, ends = [a for a, _, _ in base], [0, *accumulate((e for _, _, e in base), max)]
+    return lambda a, e: ends[bisect_left(starts, e)] > a
+
+
+def candidates(text: str, base: list[Span] | None = None) -> list[Span]:
+    """All proposals that overlap no base span, sorted; they may overlap each other. Their number and the time are linear in the text's
+    length."""
+    taken, out = overlaps(base_spans(text) if base is None else base), set()
     if "@" in text or "at" in text or "AT" in text:  # every match of _AT has one of them
         for m in _AT.finditer(text):
-            if host := _HOST.match(text, m.end()):
+            if not taken(*m.span()) and (host := _HOST.match(text, m.end())):
                 left = max(0, m.start() - 130)
-                if name := _NAME_END.search(text[left : m.start()]):
-                    out.add((left + name.start(), EMAIL, host.end()))
+                if name := _BACK_NAME.match(text[left : m.start()][::-1]):
+                    out.add((m.start() - name.end(), EMAIL, host.end()))
     if _DIGIT.search(text):
-        for region in _REGION.finditer(text):
-            a, b = region.span()
-            if b - a < 7:
-                continue
-            for kind, pattern in ((CARD, _ANY_CARD), (PHONE, _ANY_PHONE)):
-                out.update((m.start(), kind, m.end()) for m in pattern.finditer(text, a, b + 1))  # the character after it is in sight
+        out.update(_of_groups(text))
         if any(x in text for x in ("[.]", "(.)", "[dot]")):
             out.update((m.start(), IP, m.end()) for m in _SPELLED_IP.finditer(text))
+        for m in _DOTTED.finditer(text):
+            row, starts = 0, []  # parts in a row that are at most 255
+            for p in _GROUP.finditer(text, m.start(), m.end()):
+                x, y = p.span()
+                starts.append(x)
+                row = row + 1 if y - x < 3 or (y - x == 3 and text[x:y] < "256") else 0
+                if row > 3:
+                    out.add((starts[-4], IP, y))
     if "::" in text or text.count(":") > 3:
         for m in _COLONS.finditer(text):
             if m.end() - m.start() > 4 and _DIGIT.search(m.group()):
                 out.add((m.start(), IP, m.end()))
-    return sorted(out)
+    return sorted(s for s in out if not taken(s[0], s[2]))
 
 
 #: Words before a span that speak for a kind, by kind; and words that speak for none. Fixed values.
@@ -120,35 +171,70 @@ CUES = (
     ("tel", "phone", "call", "mobile", "fax", "cell", "telefon", "telefono", "teléfono", "téléphone", "handy", "rufnummer", "whatsapp", "sms"),
 )
 AGAINST = ("order", "isbn", "invoice", "version", "release", "page", "pages", "serial", "ref", "item", "total", "price", "sku", "score", "year", "years", "date", "time", "section", "chapter", "figure", "build", "id", "no", "nr", "lat", "lon", "range", "ratio", "mac")
+_CUE_SETS, _AGAINST_SET = tuple(map(frozenset, CUES)), frozenset(AGAINST)
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 _DATE = re.compile(r"(?:19|20)\d\d[-./ ](?:0?[1-9]|1[0-2])[-./ ](?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-./ ](?:0?[1-9]|1[0-2])[-./ ](?:19|20)?\d\d")
 _YEARS = re.compile(r"(?:19|20)\d\d ?[–-] ?(?:19|20)?\d\d")
-_LABELS = re.compile(r"[\w-]+$")
+_SEPARATED = " ._/()–-"
 
 
-def features(text: str, span: Span) -> list[float]:
+def _context(text: str, span: Span) -> list[float]:
+    """Words before the span, and the characters beside it."""
     start, kind, end = span
-    s = text[start:end]
-    groups = [len(g) for g in re.findall("[0-9]+", s)] or [0]
-    digits = digits_of(s)
-    before = [w.lower() for w in _WORD.findall(text[max(0, start - 40) : start])][-4:]
+    before = [w.lower() for w in _WORD.findall(text, max(0, start - 40), start)][-4:]
+    last = before[-1] if before else ""
     prev, following = text[start - 1 : start], text[end : end + 1]
-    last = _LABELS.search(s)
+    cues = _CUE_SETS[kind]
+    return [not cues.isdisjoint(before), not _AGAINST_SET.isdisjoint(before), last in cues, last in _AGAINST_SET, prev != "" and prev in "#=/:,.$€£", following != "" and following in "%€$£/:,=", prev.isalnum(), following.isalnum()]
+
+
+_LAST_LABEL = re.compile(r"[\W_]")
+
+
+def _email_features(text: str, span: Span) -> list[float]:
+    """Also how the address is put together: which marks stand for @ and dots, and how its last label reads."""
+    s = text[span[0] : span[2]]
+    low = s.lower()
+    m = _LAST_LABEL.search(s[::-1])
+    label = s[len(s) - m.start() :] if m else s
+    return [
+        *_context(text, span), len(s), s.count("."), "@" in s, " at " in low, " dot " in low, "[" in s or "(" in s or "{" in s, "[dot" in low or "(dot" in low or "{dot" in low,
+        len(label) if label.isalpha() else 0, label.islower(), len(_DIGIT.findall(s)), s.count(" "), "_" in s,
+    ]
+
+
+def _digits_beside(text: str, at: int, step: int) -> int:
+    """Digits, up to 20, of the group next to a span, behind at most three separators."""
+    for _ in range(3):
+        if 0 <= at < len(text) and text[at] in _SEPARATED:
+            at += step
+    n = 0
+    while n < 20 and 0 <= at < len(text) and "0" <= text[at] <= "9":
+        n, at = n + 1, at + step
+    return n
+
+
+def _number_features(text: str, span: Span) -> list[float]:
+    """Also digits and groups, separators, dates, and what digits stand beside the span."""
+    start, kind, end = span
+    s = text[start:end]
+    groups = [len(g) for g in _GROUP.findall(s)] or [0]
+    digits = "".join(_GROUP.findall(s))
     separators = {c for c in s if not c.isalnum()}
     colons = s.split(":")
+    size = len(digits)
     return [
-        *[float(kind == k) for k in range(4)],
-        len(digits), len(s), len(groups), max(groups), min(groups), groups[0], groups[-1],
-        float(12 <= len(digits) <= 19 and luhn(digits)), float(digits[:1] == "0"), float("(" in s), len(separators),
-        float("." in s), float("-" in s or "–" in s), float(" " in s), float("/" in s), float("_" in s),
-        float(bool(_DATE.fullmatch(s))), float(bool(_YEARS.fullmatch(s))), float(bool(_DATE.search(s))),
-        float(len(last.group()) if last and last.group().isalpha() else 0), float(any(c in s for c in "[({")), float("@" in s), float(" dot " in s.lower()),
-        float(prev in "#=/:,.$€£") if prev else 0.0, float(following in "%€$£/:,=") if following else 0.0,
-        float(any(w in CUES[kind] for w in before)), float(any(w in AGAINST for w in before)), float(before[-1] in CUES[kind]) if before else 0.0, float(before[-1] in AGAINST) if before else 0.0,
-        len(set(digits)), len(colons), max(map(len, colons)) if len(colons) > 1 else 0.0, float(len(colons) == 6 and all(len(c) == 2 for c in colons)), float("::" in s),
+        *_context(text, span), kind == IP, kind == CARD, kind == PHONE, size, len(s), len(groups), max(groups), min(groups), groups[0], groups[-1], digits[:1] == "0", digits[:2] == "00", digits[:1] in tuple("3456"),
+        s[0] == "+", "(" in s, len(separators), "." in s, "-" in s or "–" in s, " " in s, "/" in s, "_" in s, "  " in s, bool(_DATE.fullmatch(s)), bool(_YEARS.fullmatch(s)), bool(_DATE.search(s)), "[" in s,
+        len(set(digits)), len(colons), max(map(len, colons)) if len(colons) > 1 else 0, len(colons) == 6 and all(len(c) == 2 for c in colons), "::" in s,
+        all(g == groups[0] for g in groups), all(g == 4 for g in groups[:-1]), groups in ([4, 6, 5], [4, 6, 4]), _digits_beside(text, start - 1, -1), _digits_beside(text, end, 1),
     ]
 
 
+def features(text: str, span: Span) -> list[float]:
+    return _email_features(text, span) if span[1] == EMAIL else _number_features(text, span)
+
+
 # ---------------------------------------------------------------- boosted trees
 
 
@@ -177,100 +263,6 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 50, rate: float = 0.2, bins: int = 32) -> Trees:
-    """Newton boosting on the logistic loss."""
-    edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(x.shape[1])]
-    p0 = np.clip(y.mean(), 0.01, 0.99)
-    trees = Trees(edges, np.zeros((rounds, 7), np.int64), np.zeros((rounds, 7), np.int64), np.zeros((rounds, 8)), float(np.log(p0 / (1 - p0))))
-    b = trees.binned(x)
-    n_bins = bins + 1
-    margin = np.full(len(x), trees.prior)
-    for r in range(rounds):
-        p = 1 / (1 + np.exp(-margin))
-        g, h = y - p, p * (1 - p)
-        node = np.zeros(len(x), np.int64)
-        for level in range(3):
-            first = (1 << level) - 1
-            for k in range(first, 2 * first + 1):
-                own = np.flatnonzero(node == k)
-                best = (1e-6, 0, n_bins)  # no split: all go left
-                if len(own) > 10:
-                    total_g, total_h = g[own].sum(), h[own].sum()
-                    for f in range(x.shape[1]):
-                        if not len(edges[f]):
-                            continue
-                        left_g = np.cumsum(np.bincount(b[own, f], g[own], n_bins))[: len(edges[f])]
-                        left_h = np.cumsum(np.bincount(b[own, f], h[own], n_bins))[: len(edges[f])]
-                        gain = left_g**2 / (left_h + 1) + (total_g - left_g) ** 2 / (total_h - left_h + 1) - total_g**2 / (total_h + 1)
-                        gain[(left_h < 0.5) | (total_h - left_h < 0.5)] = 0
-                        at = int(np.argmax(gain))
-                        if gain[at] > best[0]:
-                            best = (float(gain[at]), f, at)
-                trees.feature[r, k], trees.bin[r, k] = best[1], best[2]
-            node = 2 * node + 1 + (b[np.arange(len(x)), trees.feature[r, node]] > trees.bin[r, node])
-        leaf = node - 7
-        trees.leaf[r] = rate * np.bincount(leaf, g, 8) / (np.bincount(leaf, h, 8) + 1)
-        margin += trees.leaf[r][leaf]
-    return trees
-
-
-# ---------------------------------------------------------------- training snippets
-
-
-def _snippets(n: int, rng: np.random.Generator) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """Texts with the spans in them that are personal data; about half have none but look alike."""
-    number = lambda k, first="123456789": rng.choice(list(first)) + "".join(rng.choice(list("0123456789"), max(0, k - 1)))
-    pick = lambda *xs: xs[rng.integers(len(xs))]
-    word = lambda: "".join(pick("ta", "re", "lo", "mi", "ser", "an", "ö", "é", "st", "ku", "ven", "di") for _ in range(rng.integers(1, 4)))
-
-    def card() -> str:
-        body = number(pick(14, 15, 15, 15), "3456")
-        return body + next(c for c in "0123456789" if luhn(body + c))
-
-    def personal() -> tuple[int, str]:
-        kind = int(rng.integers(4))
-        if kind == EMAIL:
-            at = pick(" at ", " AT ", " [at] ", "[at]", "(at)", " (at) ", "{at}", " @ ")
-            dot = pick(" dot ", " [dot] ", "[dot]", "(dot)", "[.]", "(.)", ".") if at.strip().lower() != "at" else pick(" dot ", " [dot] ", "[dot]")
-            return kind, f"{word()}{pick('', '.', '_') + word()}{pick('', number(2))}{at}{word()}{dot}{pick('com', 'org', 'net', 'de', 'fr', 'es', 'io', 'co.uk')}"
-        if kind == IP:
-            if rng.random() < 0.4:
-                dot = pick("[.]", "(.)", "[dot]")
-                return kind, dot.join(str(rng.integers(256)) for _ in range(4))
-            h = [f"{rng.integers(65536):x}" for _ in range(8)]
-            h[0] = pick("2001", "fe80", "2a02", "fd00", h[0])
-            return kind, ":".join(h) if rng.random() < 0.6 else ":".join(h[: rng.integers(2, 4)]) + "::" + ":".join(h[6 : rng.integers(7, 9)])
-        if kind == CARD:
-            c, s = card(), pick(".", "  ", "/", " - ", "–", "_", "--")
-            return kind, s.join(c[k : k + 4] for k in range(0, len(c), 4))
-        return kind, pick(
-            f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"{number(3)}.{number(3)}.{number(4)}", f"0{number(3)} {number(3)} {number(4)}",
-            f"00{number(2)} {number(2)} {number(7)}", f"0{number(1)} {number(2)} {number(2)} {number(2)} {number(2)}", f"0{number(3)}/{number(3)} {number(4)}", f"{number(3)} {number(3)} {number(3)}", f"0{number(3)}-{number(6)}")
-
-    def alike() -> str:
-        y, m, d = rng.integers(1950, 2031), rng.integers(1, 13), rng.integers(1, 29)
-        return pick(
-            f"{y}-{m:02d}-{d:02d}", f"{d:02d}.{m:02d}.{y}", f"{d}/{m}/{y}", f"{y}-{y + rng.integers(1, 9)}", f"{y}–{y % 100 + 1:02d}", f"{rng.integers(24):02d}:{rng.integers(60):02d}:{rng.integers(60):02d}",
-            f"{number(2)}.{number(2)}.{number(3)}", f"{number(1)}.{number(3)}.{number(3)}", f"978-{number(1)}-{number(4)}-{number(4)}-{number(1)}", f"{number(16)}", f"{number(4)} {number(4)} {number(4)} {number(3)}",
-            f"{number(4)}.{number(4)}.{number(4)}.{number(4)}", f"{number(4)}/{number(4)}/{number(4)}/{number(4)}", f"{number(4)}_{number(4)}_{number(4)}_{number(4)}", f"{number(4)}  {number(4)}  {number(4)}  {number(4)}", f"{number(3)} - {number(3)}", f"{number(2)} {number(3)} {number(2)}", f"{number(5)}-{number(4)}",
-            f"pages {number(3)}-{number(3)}", f"{number(2)}/{number(2)}", f"{y} {number(2)} {number(3)} {number(4)}", ":".join(f"{rng.integers(256):02x}" for _ in range(6)), f"{y}-{m:02d}-{d:02d} {rng.integers(24):02d}:{rng.integers(60):02d}:{rng.integers(60):02d}",
-            f"look at {word()} and dot {word()}", f"{word()} at {word()} dot {word()}{word()}ing", f"{word()} at home.{word()} {word()}", f"{word()} @ {word()}", f"std::{word()}::{number(2)}", f"{number(3)} {number(3)} {number(3)} {number(3)}", f"1:{number(2)}:{number(3)}:{number(1)}", f"{number(2)} {number(2)} {number(2)} {number(2)} {number(2)}")
-
-    for _ in range(n):
-        out, spans = " ".join(word() for _ in range(rng.integers(0, 6))), []
-        for _ in range(rng.integers(1, 3)):
-            if rng.random() < 0.5:
-                kind, s = personal()
-                cue = pick(*CUES[kind]) + pick("", ":", " :", ".") if rng.random() < (0.95 if s[:1].isdigit() and kind == PHONE and "." not in s else 0.5) else word()
-                out += " " + pick(cue, cue.capitalize()) + " "
-                spans.append((len(out), len(out) + len(s)))
-            else:
-                s = alike()
-                out += " " + (pick(*AGAINST) if rng.random() < 0.5 else word()) + pick("", ":", " #") + " "
-            out += s + pick("", ".", ",", ";", ")") + " " + " ".join(word() for _ in range(rng.integers(0, 4)))
-        yield out, spans
-
-
 @dataclass
 class Scorer:
     trees: Trees
@@ -281,19 +273,6 @@ class Scorer:
         return 1 / (1 + np.exp(-(self.scale * self.trees.margin(x) + self.shift)))
 
 
-def _scorer(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Scorer:
-    """Trees of the rows not held, with probabilities by those held."""
-    trees = boost(x[~held], y[~held])
-    z, t = trees.margin(x[held]), y[held]
-    a, b = 1.0, 0.0
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-(a * z + b)))
-        w = p * (1 - p) + 1e-6
-        step = np.linalg.solve([[np.sum(w * z * z), np.sum(w * z)], [np.sum(w * z), np.sum(w)]], [np.sum((p - t) * z), np.sum(p - t)])
-        a, b = a - step[0], b - step[1]
-    return Scorer(trees, float(a), float(b))
-
-
 @dataclass
 class Judge:
     """Addresses have trees of their own: what is proposed for them doesn't change the verdict on numbers."""
@@ -302,52 +281,59 @@ class Judge:
     numbers: Scorer
     thresholds: tuple[float, ...]
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        return np.where(x[:, EMAIL] > 0, self.email.probabilities(x), self.numbers.probabilities(x))
+    def probabilities(self, text: str, spans: list[Span]) -> np.ndarray:
+        out = np.zeros(len(spans))
+        for by, own in ((self.email, [k for k, s in enumerate(spans) if s[1] == EMAIL]), (self.numbers, [k for k, s in enumerate(spans) if s[1] != EMAIL])):
+            if own:
+                out[own] = by.probabilities(np.array([features(text, spans[k]) for k in own], np.float64))
+        return out
+
+
+def _to_json(by: Judge) -> str:
+    scorer = lambda s: {"scale": s.scale, "shift": s.shift, "prior": s.trees.prior, "edges": [e.tolist() for e in s.trees.edges], "feature": s.trees.feature.tolist(), "bin": s.trees.bin.tolist(), "leaf": s.trees.leaf.round(6).tolist()}
+    return json.dumps({"thresholds": by.thresholds, "email": scorer(by.email), "numbers": scorer(by.numbers)}, separators=(",", ":")) + "\n"
 
 
 @lru_cache(maxsize=1)
-def judge(snippets: int = 5000, seed: int = 11, precision: float = PRECISION) -> Judge:
-    """Two thirds of the candidates train the trees, a third calibrates them."""
-    rng = np.random.default_rng(seed)
-    rows, labels = [], []
-    for text, spans in _snippets(snippets, rng):
-        fixed = base_spans(text)
-        for c in candidates(text):
-            if any(a < c[2] and c[0] < e for a, _, e in fixed):
-                continue
-            rows.append(features(text, c))
-            labels.append(any(min(b, c[2]) - max(a, c[0]) >= 0.9 * max(b - a, c[2] - c[0]) for a, b in spans))
-    x, y = np.array(rows, np.float64), np.array(labels, np.float64)
-    email, held = x[:, EMAIL] > 0, np.zeros(len(y), bool)
-    for own in (email, ~email):
-        held[own] = np.arange(own.sum()) % 3 == 2
-    out = Judge(*[_scorer(x[own], y[own], held[own]) for own in (email, ~email)], ())
-    p, t, kinds = out.probabilities(x[held]), y[held], x[held][:, :4].argmax(axis=1)
-    limits = []
-    for kind in range(4):
-        own, right = p[kinds == kind], t[kinds == kind]
-        good = [s for s in np.arange(0.5, 1.0, 0.01) if (own >= s).any() and right[own >= s].mean() >= precision]
-        limits.append(float(min(good, default=0.99)))
-    out.thresholds = tuple(limits)
-    return out
+def judge() -> Judge:
+    """The model of the file."""
+    d = json.loads(MODEL.read_text())
+    scorer = lambda s: Scorer(Trees([np.array(e) for e in s["edges"]], np.array(s["feature"]), np.array(s["bin"]), np.array(s["leaf"]), s["prior"]), s["scale"], s["shift"])
+    return Judge(scorer(d["email"]), scorer(d["numbers"]), tuple(d["thresholds"]))
 
 
 # ---------------------------------------------------------------- operators
 
 
+def likeliest(spans: list[Span], p: np.ndarray) -> list[Span]:
+    """Of sorted spans, those that overlap none of higher probability that is kept; the earlier one of equals."""
+    kept: list[Span] = []
+    at = 0
+    while at < len(spans):  # a chain of overlapping spans at a time
+        to, end = at + 1, spans[at][2]
+        while to < len(spans) and spans[to][0] < end:
+            end, to = max(end, spans[to][2]), to + 1
+        starts: list[int] = []
+        ends: list[int] = []
+        for k in sorted(range(at, to), key=lambda k: (-p[k], k)):
+            a, _, e = spans[k]
+            n = bisect_right(starts, a)
+            if (n == 0 or ends[n - 1] <= a) and (n == len(starts) or starts[n] >= e):
+                starts.insert(n, a)
+                ends.insert(n, e)
+                kept.append(spans[k])
+        at = to
+    return sorted(kept)
+
+
 def more_spans(text: str, base: list[Span], by: Judge) -> list[Span]:
     """Candidates over their kind's threshold, the likeliest first, that overlap nothing taken."""
-    found = [c for c in candidates(text) if not any(a < c[2] and c[0] < e for a, _, e in base)]
+    found = candidates(text, base)
     if not found:
         return []
-    p = by.probabilities(np.array([features(text, c) for c in found], np.float64))
-    taken: list[Span] = []
-    for k in np.argsort(-p, kind="stable").tolist():
-        c = found[k]
-        if p[k] >= by.thresholds[c[1]] and not any(a < c[2] and c[0] < e for a, _, e in taken):
-            taken.append(c)
-    return taken
+    p = by.probabilities(text, found)
+    sure = np.flatnonzero(p >= np.array(by.thresholds)[[c[1] for c in found]])
+    return likeliest([found[k] for k in sure], p[sure])
 
 
 def spans_of(text: str, by: Judge) -> tuple[list[Span], list[Span]]:
@@ -384,7 +370,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind in angle brackets; overlapping spans are replaced as one, named by the first."""
+    """``docs`` with every span in ``text`` replaced by its kind in angle brackets; overlapping spans are replaced as one, named by the first.
+
+    Null and empty texts stay as they are, as do all other columns; repeated rows stay repeated; an empty table gives no rows. Texts are
+    redacted whole, in time linear in their length.
+    """
     by = judge()
     at = docs.columns.index("text")
 

@@ -79,13 +79,88 @@ def test_spelled_out_addresses_need_no_other_word():
     assert (5, pii.EMAIL, 24) in pii.candidates("mail jane at example.com now")
 
 
-def test_held_out_accuracy():
-    """On snippets of another seed: nearly all that is selected is personal, and most of what is personal is selected."""
+#: Texts that neither generator of snippets makes, by hand: what is marked is personal data beyond the base patterns. Fixed values.
+BY_HAND = """
+Please reach Dr. Ewa Nowak under [[ewa.nowak [at] klinik-nord [dot] pl]] before Friday.
+spam-safe: [[webmaster(at)tennisclub(dot)org]], thanks!
+Write me: [[tom_k at proton dot me]]
+<a>[[info{at}shop.example.eu]]</a>
+Bewerbungen an [[jobs [at] backhaus.de]] oder per Post.
+We looked at the map. Dotted lines mark the path.
+He works at Acme. The others are at home.
+Meet at noon @ cafe.corner today
+const at = arr.at(3).dot(v); // at index
+Call [[(212) 555-0187]] after six.
+Tel.: [[030 901820-12]], Zimmer 4
+Rufnummer [[0171/555 12 34]] mobil
+Téléphone : [[01 42 68 53 00]]
+Fax: [[089-5551234]]
+my number is [[555-867-5309]], call me
+Teléfono: [[915 55 23 41]]
+reach us: [[+1 (202) 555-0143]] 10.0.0.7 is the gateway's address
+[[+49 30 5550 1234]] 4111111111111112
+The vote was 412-308 with 12 abstaining in 2019-2020.
+On 12.05.2021 at 14:30:00 the sensor read 23.7 24.1 25.0
+lat 48.8584 lon 2.2945
+Rows 1200 3400 5600 7800 sum to 18000
+ISBN 978-3-16-148410-0 costs 24.99
+invoice 2024-000123-77 due 2024-06-01
+pages 112-118, 203-209 and 310-311
+version 10.4.2.1.7 was released
+card [[4111.1111.1111.1111]], exp 04/27
+Visa [[5500–0000–0000–0004]] on file
+Kreditkarte: [[3782/822463/10005]]
+paid by [[4012888888881881]] 5105105105105106 today
+two cards: [[4222 2222 2222 2220]] [[5555 5555 5555 4444]] were used
+tarjeta [[6011_1111_1111_1117]] y fecha 08/26
+serial 4111.1111.1111.1112 is not valid
+part 0000.0000.0000 missing
+login from [[2001:db8:85a3:0:0:8a2e:370:7334]] refused
+server [[fe80::1ff:fe23:4567:890a]] answers
+block [[198[.]51[.]100[.]23]] and [[203[.]0[.]113[.]9]].
+host [[192(.)168(.)0(.)12]] is down
+mac aa:bb:cc:00:11:22 joined
+time 10:15:30:250 in the log
+std::vector<int>::size() and a::b::c
+ratio 1:20:300:4 in the mix
+""".strip().split("\n")
+
+
+def marked(line):
+    """The text without marks, and the spans that were marked."""
+    out, spans = "", []
+    while (a := line.find("[[")) >= 0:
+        e = line.index("]]", a) + (line[line.index("]]", a) + 2 :].startswith("]") and 1)
+        out, line = out + line[:a], line[a + 2 :]
+        body, line = line[: e - a - 2], line[e - a :]
+        spans.append((len(out), len(out) + len(body)))
+        out += body
+    return out + line, spans
+
+
+def test_accuracy_by_hand():
+    """Of what is selected in texts written by hand nearly all is personal data, and most of it is selected."""
+    by, right, wrong, missed = pii.judge(), [], [], []
+    for line in BY_HAND:
+        text, spans = marked(line)
+        base = pii.base_spans(text)
+        chosen = [(a, e) for a, _, e in pii.more_spans(text, base, by)]
+        assert not any(x < e and a < y for a, e in spans for x, _, y in base), text
+        right += [text[a:e] for a, e in chosen if any(min(e, y) - max(a, x) >= 0.9 * max(e - a, y - x) for x, y in spans)]
+        wrong += [text[a:e] for a, e in chosen if not any(min(e, y) - max(a, x) >= 0.9 * max(e - a, y - x) for x, y in spans)]
+        missed += [text[a:e] for a, e in spans if not any(min(e, y) - max(a, x) >= 0.9 * (e - a) for x, y in chosen)]
+    assert len(right) >= 0.9 * (len(right) + len(wrong)) and len(right) >= 0.8 * (len(right) + len(missed)), (wrong, missed)
+
+
+def test_accuracy_on_calibration_forms():
+    """Other draws of the snippets that thresholds are set on, which the trees never learned from."""
     import numpy as np
 
+    from slidestream.llm import pii_train
+
     by = pii.judge()
     right = wrong = missed = 0
-    for text, spans in pii._snippets(1500, np.random.default_rng(99)):
+    for text, spans in pii_train.calibration_snippets(1000, np.random.default_rng(99)):
         base = pii.base_spans(text)
         chosen = [(a, e) for a, _, e in pii.more_spans(text, base, by)]
         for a, e in spans:
@@ -93,17 +168,65 @@ def test_held_out_accuracy():
                 hit = any(min(e, y) - max(a, x) >= 0.9 * (e - a) for x, y in chosen)
                 right, missed = right + hit, missed + (not hit)
         wrong += sum(not any(x < e and a < y for x, y in spans) for a, e in chosen)
-    assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.8
+    assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.9
+
+
+def test_a_small_model_learns():
+    """Training end to end; the file is what ``train()`` gives with its defaults."""
+    from slidestream.llm import pii_train
+
+    by = pii_train.train(snippets=600)
+    for text, want in (("call (555) 123-4567 now", True), ("on 2024-01-02 it", False)):
+        assert bool(pii.more_spans(text, pii.base_spans(text), by)) == want
+    assert all(0.5 <= t < 1 for t in pii.judge().thresholds)
+
+
+def test_selection_is_the_plain_one():
+    """Against choosing the likeliest of all remaining spans again and again."""
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(300):
+        spans = sorted({(a, rng.randrange(4), a + rng.randint(1, 12)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 25)))})
+        p = np.array([rng.choice([0.5, 0.7, 0.9, 0.99]) for _ in spans])
+        left, want = list(range(len(spans))), []
+        while left:
+            best = max(left, key=lambda k: (p[k], -k))
+            want.append(spans[best])
+            left = [k for k in left if spans[k][2] <= spans[best][0] or spans[k][0] >= spans[best][2]]
+        assert pii.likeliest(spans, p) == sorted(want)
+        base = sorted({(a, 0, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(5))})
+        over = pii.overlaps(base)
+        assert [s for s in spans if not over(s[0], s[2])] == [s for s in spans if not any(a < s[2] and s[0] < e for a, _, e in base)]
+
+
+def test_added_spans_are_the_candidates_over_their_threshold(spark):
+    """What find_pii adds, from its parts: proposals clear of base spans, each judged alone, the likeliest first."""
+    by = pii.judge()
+    texts = ["call (555) 123-4567 or 030 123 4567 now", "card 4111.1111.1111.1111 4222 2222 2222 2220 5555 5555 5555 4444", "+1 (988) 555-2485 10.0.0.1 jo [at] x.org", "nothing"]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        base, want = plain(t), []
+        scored = [(by.probabilities(t, [c])[0], c) for c in pii.candidates(t)]
+        for p, c in sorted(scored, key=lambda x: (-x[0], x[1])):
+            if p >= by.thresholds[c[1]] and not any(a < c[2] and c[0] < e for a, _, e in base + want):
+                want.append(c)
+        assert got[i] == pii.written(sorted(base + want))
+    assert got[0].count("phone") == 2 and got[1].count("card") >= 2 and "phone:0:17" in got[2] and got[3] == ""
 
 
 def test_redaction(spark):
-    df = spark.createDataFrame([(1, "to bo@x.org or +1 (988) 555-2485."), (2, None), (3, "")], "doc_id int, text string")
-    assert sorted((r.doc_id, r.text) for r in pii.redact(df).collect()) == [(1, "to <email> or <phone>."), (2, None), (3, "")]
+    long = "x jo [at] example.org y " * 20_000
+    df = spark.createDataFrame([(1, "to bo@x.org or +1 (988) 555-2485."), (2, None), (3, ""), (1, "to bo@x.org or +1 (988) 555-2485."), (4, long)], "doc_id int, text string")
+    assert sorted((r.doc_id, r.text) for r in pii.redact(df).collect()) == [(1, "to <email> or <phone>."), (1, "to <email> or <phone>."), (2, None), (3, ""), (4, long.replace("jo [at] example.org", "<email>"))]
+    assert pii.redact(df.limit(0)).count() == 0
 
 
 def test_long_texts_are_linear():
-    t = "12-34-56 x" * 30_000 + "1" * 100_000 + "@" + "a" * 100_000 + "." + "1." * 50_000 + "+1 " * 50_000 + ":1" * 50_000 + "(1) dot" * 5_000 + "1-" * 50_000
-    began = time.time()
-    pii.base_spans(t)
-    pii.candidates(t)
-    assert time.time() - began < 20
+    """A megabyte of each: dense spans, dense look-alikes, and runs that match nothing."""
+    by = pii.judge()
+    mixed = "12-34-56 x" * 30_000 + "1" * 100_000 + "@" + "a" * 100_000 + "." + "1." * 50_000 + "+1 " * 50_000 + ":1" * 50_000 + "(1) dot" * 5_000 + "1-" * 50_000
+    for t in ("a@b.co x (at) y.com, " * 48_000, "4111.1111.1111.1111 x " * 45_000, "12 34 56 78 90 " * 66_000, "1 " * 500_000, "1." * 500_000, "(1) " * 250_000, mixed):
+        began = time.time()
+        pii.spans_of(t, by)
+        assert time.time() - began < 40, t[:30]
