@@ -89,7 +89,7 @@ _HOST = re.compile(r"[\w-]{1,63}(?:" + _DOT + r"[\w-]{1,63}){1,5}")
 _GROUPS = re.compile(r"[0-9]+(?:[ ._/()–-]{1,3}[0-9]+)*")
 _GROUP = re.compile("[0-9]+")
 _SPELLED_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}){3}(?!\w|[\[(.][0-9d.])")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){4,}")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){4,}")
 _COLONS = re.compile(r"(?<![\w:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
 
 
