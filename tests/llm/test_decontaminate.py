@@ -47,15 +47,16 @@ def plain(rows):
     return out
 
 
-@pytest.mark.parametrize("block_chars", [150, 1 << 20])
-def test_matches(spark, block_chars):
+@pytest.mark.parametrize(("block_chars", "broadcast"), [(400, 9), (150, 1), (1 << 20, 1)])
+def test_matches(spark, block_chars, broadcast):
+    """Broadcast in several blocks, routed to stored blocks, broadcast in one."""
     df, rows = data.documents(spark, planted() + [t for t in data.texts() if t is None or len(t) < 3000])
     bench = spark.createDataFrame(ITEMS, "item_id int, text string")
-    got = d.contamination(df, bench, block_chars=block_chars).collect()
+    got = d.contamination(df, bench, block_chars=block_chars, most_broadcast=broadcast).collect()
     assert {(str(r.doc_id), r.item_id) for r in got} == plain(rows)
     assert all(0.8 <= r.similarity <= 1 and r.distance <= d.RADIUS for r in got)
     dirty = {i for i, _ in plain(rows)}
-    clean = d.decontaminate(df, bench, block_chars=block_chars)
+    clean = d.decontaminate(df, bench, block_chars=block_chars, most_broadcast=broadcast)
     assert clean.columns == df.columns
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, *_ in rows if str(i) not in dirty)
 
@@ -69,18 +70,77 @@ def test_fingerprints_of_windows():
             assert int(got[s]) == want
 
 
-def test_lookup_finds_all_in_radius():
+@pytest.mark.parametrize("radius", [3, 7, 11, 15, 19])
+def test_lookup_finds_all_in_radius(radius):
     rng = np.random.default_rng(5)
     fps = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
-    c = d.SizeClass.build(9, list(range(50)), [np.array([f, f, f], np.uint64) for f in fps], d.RADIUS)
+    c = d.SizeClass.build(9, list(range(50)), [np.array([f, f, f], np.uint64) for f in fps], radius)
     assert c.fps.tolist() == fps.tolist()
     probes = []
     for f in fps.tolist():
-        for n in (0, 5, 23, 24):
+        for n in (0, 5, radius, radius + 1):
             probes.append(f ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False)))
-    w, k, dist = c.lookup(np.array(probes, np.uint64), d.RADIUS)
+    w, k, dist = c.lookup(np.array(probes, np.uint64), radius)
     want = np.bitwise_count(np.array(probes, np.uint64)[:, None] ^ fps[None, :])
-    assert set(zip(w.tolist(), k.tolist(), dist.tolist())) == {(int(a), int(b), int(want[a, b])) for a, b in zip(*np.nonzero(want <= d.RADIUS))}
+    assert set(zip(w.tolist(), k.tolist(), dist.tolist())) == {(int(a), int(b), int(want[a, b])) for a, b in zip(*np.nonzero(want <= radius))}
+
+
+def test_the_index_selects():
+    """Of random fingerprints almost none pass, and few are looked at for an item."""
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    c = d.SizeClass.build(9, list(range(20)), [np.array([f], np.uint64) for f in fps], d.RADIUS)
+    probes = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    assert len(c.lookup(probes, d.RADIUS)[0]) < 1e-4 * 20 * len(probes)
+
+
+def test_similarities():
+    rng = random.Random(12)
+    for _ in range(200):
+        row = np.array([rng.randrange(6) for _ in range(rng.randint(1, 40))], np.uint64)
+        item, size = Counter(rng.randrange(7) for _ in range(rng.randint(1, 12))), rng.randint(1, len(row))
+        for s, got in enumerate(d.similarities(row, size, item)):
+            own = Counter(row[s : s + size].tolist())
+            shared = sum((own & item).values())
+            assert got == shared / (size + sum(item.values()) - shared)
+
+
+def test_recall_of_edited_items():
+    """Windows of similarity 0.8 and more, by edits of words, against trying every window: at least 0.95 are found, all from 0.9."""
+    rng, found, near = random.Random(13), [], []
+    items = [(k, data.prose(rng, n)) for k, n in enumerate([20, 30, 45, 60, 80, 120] * 8)]
+    index = d.Index(items)
+    for item, text in items:
+        for _ in range(6):
+            words = text.split(" ")
+            for _ in range(rng.randint(1, 2)):
+                k = rng.randrange(len(words))
+                words[k : k + rng.randint(0, 1)] = ["new"] * rng.randint(0, 1)
+            whole = data.prose(rng, 25).split(" ") + words + data.prose(rng, 25).split(" ")
+            target, n = shingles(lower_words(text)), len(text.split(" "))
+            low = lower_words(" ".join(whole))
+            top = max((s := sum((shingles(low[k : k + n]) & target).values())) / (2 * sum(target.values()) - s) for k in range(len(low) - n + 1))
+            if top >= 0.8:
+                got = {i: s for i, s, *_ in index.matches(WordHashes().of(low), 0.8)}
+                found.append(item in got)
+                if top >= 0.9:
+                    near.append(got.get(item) == top)
+    assert len(found) > 100 and sum(found) >= 0.95 * len(found) and all(near)
+
+
+def test_repeated_words_take_little_memory():
+    """A million repeated words against an item of a thousand of them, and against one that shares one shingle."""
+    import time
+    import tracemalloc
+
+    index = d.Index([(1, "spam " * 1000), (2, "spam " * 5 + "other words " * 20), (3, "ham " * 300)])
+    words = WordHashes().of(lower_words("spam " * 1_000_000))
+    tracemalloc.start()
+    began = time.time()
+    got = list(index.matches(words, 0.8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(i, s, p, n) for i, s, p, n, _ in got] == [(1, 1.0, 0, 1000)] and peak < 500_000_000 and time.time() - began < 120
 
 
 def test_empty_sides(spark):
