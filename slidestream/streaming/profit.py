@@ -1,45 +1,62 @@
 """The profit of ads over a stream of events, without a join of streams.
 
-Both sides are one stream, so one windowed aggregation holds the state of window and ad, and the join is a filter on its rows.
+Both sides are one stream, so one aggregation by pane and ad holds all state, and the join is a filter on windows of panes. A row is in one
+pane, not in every window that holds it; a watermark drops a pane's state once no event can reach it any more.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from slidestream.functions.scalar import money
+from slidestream.plans.profit import profit_of_panes, side_totals
 from slidestream.shared import new_folder
 
+#: How far events may come behind the latest one. Later ones don't count.
+LATENESS = "2 days"
 
-def windowed(sides: DataFrame, size: int, slide: int) -> DataFrame:
-    """Of ``ts, ad_id, cost, value``, streaming: sums, latest time and counts by window and ad."""
-    counted = F.when(F.col("cost").isNotNull() | F.col("value").isNotNull(), F.col("ts"))
-    return sides.groupBy(F.window("ts", f"{size} milliseconds", f"{slide} milliseconds"), "ad_id").agg(
-        F.sum(money(F.col("cost"))).alias("cost"), F.sum(money(F.col("value"))).alias("value"), F.max(counted).alias("max_ts"), F.count("cost").alias("n_ads"), F.count("value").alias("n_checkouts"))
 
+_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
-def start(sides: DataFrame, size: int, slide: int, folder: str) -> StreamingQuery:
-    """Each micro-batch appends the rows that it changed, marked with its number; a repeated batch replaces its own rows."""
+
+def instant(local: Column) -> Column:
+    """A time without zone as one in UTC, whatever the session's zone: watermarks need an instant."""
+    return F.timestamp_micros(((local - F.expr(_EPOCH)).cast("interval second").cast("decimal(18,6)") * 1_000_000).cast("long"))
+
+
+def local(at: Column) -> Column:
+    return F.expr(_EPOCH) + F.make_dt_interval(secs=(F.unix_micros(at).cast("decimal(18,0)") / 1_000_000).cast("decimal(18,6)"))
+
+
+def paned(sides: DataFrame, slide: int, lateness: str = LATENESS) -> DataFrame:
+    """Of ``ts, ad_id, cost, value``, streaming: totals by pane and ad."""
+    zoneless = sides.schema["ts"].dataType == T.TimestampNTZType()
+    at = sides.withColumn("_at", instant(F.col("ts")) if zoneless else F.col("ts")).withWatermark("_at", lateness)
+    out = at.groupBy(F.window("_at", f"{slide} milliseconds"), "ad_id").agg(*side_totals())
+    pane = F.col("window.start")
+    return out.select((local(pane) if zoneless else pane).alias("pane"), "ad_id", "cost", "value", "max_ts", "n_ads", "n_checkouts")
+
+
+def start(sides: DataFrame, slide: int, folder: str, lateness: str = LATENESS) -> StreamingQuery:
+    """Each micro-batch appends the panes that it changed, marked with its number; a repeated batch replaces its own rows."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.select(F.col("window.start").alias("w_start"), "ad_id", "cost", "value", "max_ts", "n_ads", "n_checkouts").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/n={number}")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/n={number}")
 
-    return windowed(sides, size, slide).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    return paned(sides, slide, lateness).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The last state of each window and ad that has both sides: ``w_start, ad_id, profit, max_ts, n_ads``."""
-    rows = spark.read.parquet(f"{folder}/rows")
-    last = rows.groupBy("w_start", "ad_id").agg(F.max_by(F.struct("cost", "value", "max_ts", "n_ads", "n_checkouts"), "batch").alias("s")).select("w_start", "ad_id", "s.*")
-    return last.where("n_ads > 0 AND n_checkouts > 0").select("w_start", "ad_id", (F.col("value") - F.col("cost")).cast("double").alias("profit"), "max_ts", "n_ads")
+def latest(spark: SparkSession, folder: str, size: int, slide: int) -> DataFrame:
+    """Each window and ad that has both sides, by the last state of its panes: ``w_start, ad_id, profit, max_ts, n_ads``."""
+    last = spark.read.parquet(f"{folder}/rows").groupBy("pane", "ad_id").agg(F.max_by(F.struct("cost", "value", "max_ts", "n_ads", "n_checkouts"), "batch").alias("s"))
+    return profit_of_panes(last.select("pane", "ad_id", "s.*"), size, slide)
 
 
-def run(sides: DataFrame, size: int, slide: int) -> DataFrame:
-    """Runs the stream over what its source has now."""
+def run(sides: DataFrame, size: int, slide: int, lateness: str = LATENESS) -> DataFrame:
+    """Runs the stream over what its source has now. Its folder, below the shared one, stays until the caller deletes it."""
     spark = sides.sparkSession
     folder = new_folder(spark, "profit")
-    query = start(sides, size, slide, folder)
-    query.awaitTermination()
-    return latest(spark, folder)
+    start(sides, slide, folder, lateness).awaitTermination()
+    return latest(spark, folder, size, slide)

@@ -32,17 +32,24 @@ def timed(lines):
 
 def windows_of(rows):
     """Rows as in ``golden.ROWS``."""
-    return sorted((int(r[START].timestamp() * 1000 - golden.START_MS) // 1000 + 5, r.adId, r.valueCostDiff, r.maxEventTime, r.numTuple) for r in rows)
+    return sorted((int(r[START].timestamp() * 1000 - golden.START_MS) // 1000 + 5, r.ad_id, r.profit, r.event_ts, r.row_count) for r in rows)
 
 
 def rounded(query):
     return query.joined | dsl.rows_output(*query.output)
 
 
+def test_golden_rows_cover_the_cases():
+    assert {a for _, a, *_ in golden.ROWS} == {21, 22, 31, 32, 33}
+    assert {w for w, *_ in golden.ROWS} == set(range(1, 12))  # start-up and draining windows
+    assert any(p < 0 for _, _, p, _, _ in golden.ROWS) and any(p > 0 for _, _, p, _, _ in golden.ROWS) and (1, 21, 0.0, golden.EARLY, 2) in golden.ROWS
+    assert (7, 33, 1.5, golden.EARLY, 2) in golden.ROWS and {t for *_, t, _ in golden.ROWS} == {golden.EARLY, golden.LATE, golden.LAST}
+
+
 @pytest.mark.parametrize("panes", [False, True])
 def test_batch(spark, panes):
     q = profit_query(timed(golden.ADS), timed(golden.CHECKOUTS), panes=panes)
-    df = rounded(q).run(spark).withColumn("valueCostDiff", F.round("valueCostDiff", 6))
+    df = rounded(q).run(spark).withColumn("profit", F.round("profit", 6))
     assert windows_of(df.collect()) == golden.ROWS
 
 
@@ -57,7 +64,7 @@ def test_sinks(spark, tmp_path):
     q = profit_query(timed(golden.ADS), timed(golden.CHECKOUTS))
     (q.joined | dsl.file_output(str(tmp_path / "out"), *q.output)).run(spark)
     lines = [x for p in (tmp_path / "out").glob("part-*") for x in p.read_text().splitlines()]
-    assert len(lines) == 28 and all(len(x.split(",")) == 6 for x in lines)
+    assert len(lines) == len(golden.ROWS) and all(len(x.split(",")) == 6 for x in lines)
     assert sorted(x.split(",")[1] for x in lines) == sorted(f"{p:.6f}" for _, _, p, _, _ in golden.ROWS)
     seen = []
     (q.joined | dsl.function_output(3, lambda i, row: seen.append((i, len(row))), *q.output)).run(spark)
@@ -65,12 +72,12 @@ def test_sinks(spark, tmp_path):
     out = io.StringIO()
     from slidestream.operators.project import project
 
-    assert text.to_console(project(q.joined.dataframe(spark), *q.output), out) == 28 and len(out.getvalue().splitlines()) == 28
+    assert text.to_console(project(q.joined.dataframe(spark), *q.output), out) == len(golden.ROWS) == len(out.getvalue().splitlines())
 
 
 def streamed(spark, tmp_path, ads, checkouts, name):
     q = profit_query(ads, checkouts, watermark="10 seconds")
-    df = rounded(q).run(spark).withColumn("valueCostDiff", F.round("valueCostDiff", 6))
+    df = rounded(q).run(spark).withColumn("profit", F.round("profit", 6))
     query = text.stream_memory(df, name)
     query.awaitTermination(120)
     return spark.sql(f"SELECT * FROM {name}").collect()
@@ -141,7 +148,7 @@ def test_pipeline_errors(spark):
     q = profit_query(timed(golden.ADS), timed(golden.CHECKOUTS))
     from slidestream.fields import Field
 
-    stranger = Field("adId", "int")
+    stranger = Field("ad_id", "int")
     with pytest.raises(ValueError, match="isn't among"):
         q.joined | dsl.drop_if(stranger, "== 0")
     with pytest.raises(ValueError, match="source"):
@@ -167,8 +174,8 @@ def test_vectors(spark):
 
 def test_console_pipeline(spark, capsys):
     q = profit_query(timed(golden.ADS), timed(golden.CHECKOUTS), panes=True)
-    assert (q.joined | dsl.console_output(*q.output)).run(spark) == 28
-    assert len(capsys.readouterr().out.splitlines()) == 28
+    assert (q.joined | dsl.console_output(*q.output)).run(spark) == len(golden.ROWS)
+    assert len(capsys.readouterr().out.splitlines()) == len(golden.ROWS)
 
 
 def test_rate_and_console_streams(spark, tmp_path):
@@ -196,3 +203,25 @@ def test_processing_time_windows(spark):
     df = spark.range(10).select((F.col("id") % 2).cast("int").alias(key.column), F.lit(1).alias(one.column), F.current_timestamp().alias("now"))
     out = windows.sliding_aggregate(df, "now", 5000, 1000, AggSchema.of((key, "key"), (one, "sum"))).collect()
     assert len(out) == 10 and all(r[one.column] == 5 for r in out)
+
+
+def test_stream_state_is_bounded(spark, tmp_path):
+    """Twelve days of events, a file a batch: panes behind the watermark leave the state, and windows are those of the batch."""
+    from datetime import datetime, timedelta
+
+    from slidestream.plans.profit import profit_of_sides
+    from slidestream.streaming import profit as stream_profit
+
+    hour, rng = 3_600_000, random.Random(2)
+    schema = "ts timestamp_ntz, ad_id int, cost double, value double"
+    for day in range(12):
+        rows = [(datetime(2024, 1, 1) + timedelta(days=day, minutes=rng.randrange(1440)), rng.randrange(1, 6), *rng.choice([(1.25, None), (None, 2.5)])) for _ in range(200)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/d={day}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    query = stream_profit.start(stream, hour, str(tmp_path / "out"), "1 hour")
+    query.awaitTermination(300)
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(state) == 12 and max(state) < 3 * 24 * 5
+    got = stream_profit.latest(spark, str(tmp_path / "out"), 5 * hour, hour)
+    want = profit_of_sides(spark.read.schema(schema).parquet(str(tmp_path / "in/*")), 5 * hour, hour)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
