@@ -16,6 +16,11 @@ T_QUANTILES = (12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2
 Z_QUANTILE = 1.959963984540054
 
 
+#: The first window of a run whose output names none; and limits, in ms, of the distance between rows of one window and of the next.
+#: Fixed values.
+FIRST_WINDOW, SAME_MS, LOW_MS, HIGH_MS = 5, 100, 900, 1100
+
+
 def with_elapsed(results: DataFrame) -> DataFrame:
     """Without ad 0; ``elapsed`` is ms since the first event. The first event is one number, found by an aggregate."""
     rows = results.where("ad_id <> 0")
@@ -88,7 +93,7 @@ def after_warm_up(rows: DataFrame, ms: int = 4000) -> DataFrame:
     return rows.join(F.broadcast(first)).where(F.col("process_ts") > F.col("_from")).drop("_from")  # one row
 
 
-def detect_windows(rows: DataFrame, run: str, order: str, first: int = 5) -> DataFrame:
+def detect_windows(rows: DataFrame, run: str, order: str, first: int = FIRST_WINDOW) -> DataFrame:
     """``window`` of each row of a run, where the output names none: a new one begins when an ad comes again. Runs are folded in order,
     each in one task."""
 
@@ -115,7 +120,7 @@ def same_rows(left: DataFrame, right: DataFrame) -> bool:
     return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
 
 
-def delta_faults(rows: list[tuple[int, int]], same_ms: int = 100, low_ms: int = 900, high_ms: int = 1100) -> Iterator[int]:
+def delta_faults(rows: list[tuple[int, int]], same_ms: int = SAME_MS, low_ms: int = LOW_MS, high_ms: int = HIGH_MS) -> Iterator[int]:
     """Positions of (window, export time) rows whose distance to the row before is wrong for the same or the next window."""
     for k in range(1, len(rows)):
         delta = rows[k][1] - rows[k - 1][1]

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 _numbers = count()
 #: Wire types of the data model and the Spark types that hold them.
-TYPES: dict[str, T.DataType] = {"int": T.IntegerType(), "long": T.LongType(), "uint64": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "string": T.StringType(), "timestamp": T.TimestampType()}
+TYPES: dict[str, T.DataType] = {"int": T.IntegerType(), "long": T.LongType(), "uint64": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "string": T.StringType(), "timestamp": T.TimestampType(), "local_timestamp": T.TimestampNTZType()}
 KINDS = ("key", "sum", "min", "max", "noop")
 
 

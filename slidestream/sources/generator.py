@@ -55,7 +55,8 @@ def wire(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Pace:
-    """``count`` lines in bursts: ``burst`` lines, then ``sleep_ms``; each ``spike_interval``-th burst is ``spike_magnitude`` times as large."""
+    """Lines in bursts: ``burst`` lines, then ``sleep_ms``. With a ``spike_interval``, bursts are ``spike_magnitude`` times as large for so
+    many lines, from the first one, then normal for as many, and so on; a burst ends where the rate changes."""
 
     burst: int = 2
     sleep_ms: int = 1000
@@ -63,17 +64,24 @@ class Pace:
     spike_magnitude: int = 1
 
     def bursts(self, lines: Iterable[str]) -> Iterator[list[str]]:
-        rest, n = list(lines), 0
-        while rest:
-            n += 1
-            size = self.burst * (self.spike_magnitude if self.spike_interval and n % self.spike_interval == 0 else 1)
-            yield rest[:size]
-            rest = rest[size:]
+        rest, at = list(lines), 0
+        while at < len(rest):
+            size = self.burst
+            if self.spike_interval:
+                stretch, used = divmod(at, self.spike_interval)
+                size = min(size * (1 if stretch % 2 else self.spike_magnitude), self.spike_interval - used)
+            yield rest[at : at + size]
+            at += size
 
 
 def arrival_second(index: Column, pace: Pace = Pace()) -> Column:
-    """Burst of a line by its position, from 0, without spikes."""
-    return F.floor(index / pace.burst)
+    """Burst of a line by its position, from 0: as ``Pace.bursts`` sends it."""
+    if not pace.spike_interval:
+        return F.floor(index / pace.burst)
+    n, large = pace.spike_interval, pace.burst * pace.spike_magnitude
+    fast, slow = -(-n // large), -(-n // pace.burst)  # bursts of a stretch
+    at = index % (2 * n)
+    return F.floor(index / (2 * n)) * (fast + slow) + F.when(at < n, F.floor(at / large)).otherwise(fast + F.floor((at - n) / pace.burst))
 
 
 def megabytes_rate(rate: float, line_bytes: int, tick_ms: int = 100) -> Pace:

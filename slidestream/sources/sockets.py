@@ -98,6 +98,12 @@ def replay_socket_lines(spark: SparkSession, port: int, host: str = "127.0.0.1")
     return spark.readStream.format("replay_socket").option("host", host).option("port", port).load()
 
 
+def port_text(host: str, port: int) -> str:
+    """All that a port sends until it closes."""
+    with socket.create_connection((host, port)) as s, s.makefile("r", encoding="utf-8", newline="") as f:
+        return f.read()
+
+
 def drain(host: str, port: int) -> dict[str, float]:
     """Reads a port to its end: seconds, bytes, megabytes a second."""
     import time
@@ -110,4 +116,4 @@ def drain(host: str, port: int) -> dict[str, float]:
     return {"seconds": seconds, "bytes": float(n), "mb_per_s": n / 1e6 / seconds if seconds else 0.0}
 
 
-__all__ = ["AD_PORT", "CHECKOUT_PORT", "ReplaySocket", "drain", "rank_lines", "replay_socket_lines", "socket_lines"]
+__all__ = ["AD_PORT", "CHECKOUT_PORT", "ReplaySocket", "drain", "port_text", "rank_lines", "replay_socket_lines", "socket_lines"]

@@ -90,10 +90,26 @@ def test_generator_is_repeatable(spark):
 
 def test_pace():
     lines = [str(k) for k in range(10)]
-    assert [len(b) for b in generator.Pace(2, 0, 2, 3).bursts(lines)] == [2, 6, 2]
+    assert [len(b) for b in generator.Pace(2).bursts(lines)] == [2] * 5
+    spikes = generator.Pace(2, 0, 7, 3)  # seven lines in large bursts, seven in normal ones
+    assert [len(b) for b in spikes.bursts(range(30))] == [6, 1, 2, 2, 2, 1, 6, 1, 2, 2, 2, 1, 2]
     assert generator.megabytes_rate(1.0, 100).burst == 1000 and next(generator.megabytes_rate(0, 1).bursts(lines)) == lines
 
 
+@pytest.mark.parametrize("pace", [(2, 0, 0, 1), (2, 0, 7, 3), (3, 0, 100, 5), (5, 0, 3, 2), (1, 0, 1, 1)])
+def test_arrival_is_the_burst(spark, pace):
+    p = generator.Pace(*pace)
+    want = [n for n, b in enumerate(p.bursts(range(1000))) for _ in b]
+    got = spark.range(1000).select("id", generator.arrival_second(F.col("id"), p).alias("s")).orderBy("id").collect()
+    assert [r.s for r in got] == want
+
+
+def test_positions(spark):
+    rows = [(k * 37 % 1000 // 3, k) for k in range(1000)]
+    got = exchange.with_positions(spark.createDataFrame(rows, "a int, b int").repartition(7), "a", "b").collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.position)] == sorted(rows) and sorted(r.position for r in got) == list(range(1000))
+
+
 def test_window_must_be_a_multiple():
     with pytest.raises(ValueError, match="multiple"):
         windows.check(2500, 1000)
