@@ -6,18 +6,22 @@ so windows of five hours stand for those of five seconds. Amounts are added as d
 
 from __future__ import annotations
 
+import io
+import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidestream import analytics
 from slidestream.fields import AggSchema, Field, Schema
 from slidestream.functions.scalar import diff, greater, money, split_tokens
 from slidestream.operators import aggregate, exchange, filters, joins, parse, project, windows
-from slidestream.plans.profit import profit_by_window, profit_of_sides
+from slidestream.plans import dsl
+from slidestream.plans.profit import profit_by_window, profit_of_sides, profit_query
+from slidestream.shared import new_folder
 from slidestream.sinks import text
-from slidestream.sources import batch, generator
+from slidestream.sources import batch, generator, sockets
 from slidestream.streaming import profit as stream_profit
 
 HOUR = 3_600_000
@@ -152,6 +156,16 @@ def append_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.append_timestamp(ads(spark, sf_dir), t).select("event_id", F.col(t.column).alias("processed"))
 
 
+@query(f"WITH {_E}, {_ADS} SELECT count(*) AS n, true AS one_time, true AS whole_ms, true AS now FROM ads")
+def append_timestamp_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The appended time is whole milliseconds, one value for a batch, between the query's start and its end."""
+    seen, began = Field("seen", "uint64"), int(time.time() * 1000)
+    rows = project.append_timestamp(ads(spark, sf_dir), seen)
+    found = rows.agg(F.count("*").alias("n"), F.min(seen.column).alias("lo"), F.max(seen.column).alias("hi")).first()
+    return spark.createDataFrame([(found.n, found.lo == found.hi, isinstance(found.lo, int), began <= found.lo <= int(time.time() * 1000))], "n long, one_time boolean, whole_ms boolean, now boolean")
+
+
+
 def _line_fields(spark: SparkSession, sf_dir: str, strategy) -> DataFrame:
     price, discount, out = Field("price", "double"), Field("discount", "double"), Field("out", "double")
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias(price.column), F.col("l_quantity").alias(discount.column))
@@ -236,13 +250,128 @@ def generated_checkouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.count("*").alias("n"), F.bool_and(ok).alias("in_range"), (F.min("ad_id") == 0).alias("has_zero"))
 
 
-@query(f"WITH {_E} SELECT event_id, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 2) AS BIGINT) AS second FROM e WHERE event_type = 'purchase'")
+_POSITIONS = f"{_E}, i AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM e WHERE event_type = 'purchase')"
+
+
+@query(f"WITH {_POSITIONS} SELECT event_id, CAST(i // 2 AS BIGINT) AS second FROM i")
 def replay_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrival seconds of a replay at two lines a second. Positions are ranks over partial counts of id ranges, not over one task."""
-    c = checkouts(spark, sf_dir).select("event_id", F.floor(F.col("event_id") / 4096).alias("g"))
-    before = c.groupBy("g").agg(F.count("*").alias("n")).select("g", F.coalesce(F.sum("n").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    index = F.row_number().over(Window.partitionBy("g").orderBy("event_id")) - 1
-    return c.withColumn("i", index).join(before, "g").select("event_id", generator.arrival_second(F.col("base") + F.col("i")).alias("second"))
+    """Arrival seconds of a replay at two lines a second."""
+    lines = exchange.with_positions(checkouts(spark, sf_dir).select("event_id"), "event_id")
+    return lines.select("event_id", generator.arrival_second(F.col("position")).alias("second"))
+
+
+@query(f"WITH {_POSITIONS} SELECT event_id, CAST(i // 200 * 41 + CASE WHEN i % 200 < 100 THEN i % 200 // 15 ELSE 7 + (i % 200 - 100) // 3 END AS BIGINT) AS second FROM i")
+def replay_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At three lines a second, five times as many in every other hundred lines."""
+    lines = exchange.with_positions(checkouts(spark, sf_dir).select("event_id"), "event_id")
+    return lines.select("event_id", generator.arrival_second(F.col("position"), generator.Pace(3, 1000, 100, 5)).alias("second"))
+
+
+# ---------------------------------------------------------------- ports, files, console
+
+
+def _nation_lines(spark: SparkSession, sf_dir: str) -> list[str]:
+    """A table of 25 rows as lines, in order of the key."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name").orderBy("n_nationkey")
+    return [f"{r.n_nationkey},{r.n_regionkey},{r.n_name}" for r in rows.collect()]
+
+
+@query("SELECT CAST(n_nationkey AS INTEGER) AS key, CAST(n_regionkey AS INTEGER) AS region, n_name AS name FROM nation")
+def port_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of two ranks' ports as one stream, written to files and parsed."""
+    lines, folder = _nation_lines(spark, sf_dir), new_folder(spark, "ports")
+    ports = [generator.serve(lines[r::2], pace=generator.Pace(5, 20))[0] for r in range(2)]
+    whole = exchange.union_ranks([sockets.socket_lines(spark, p) for p in ports]).select("value")
+    stream = text.stream_csv(whole, f"{folder}/rows", f"{folder}/checkpoint", processingTime="100 milliseconds")
+    until = time.time() + 120
+    while stream.isActive and time.time() < until and sum(p["numInputRows"] for p in stream.recentProgress) < len(lines):
+        time.sleep(0.1)
+    stream.processAllAvailable()
+    stream.stop()
+    fields = [Field("key", "int"), Field("region", "int"), Field("name", "string")]
+    return project.project(parse.accepted(parse.parse_csv(batch.csv_lines(spark, f"{folder}/rows"), Schema.of(*fields))), *fields)
+
+
+@query("SELECT sum(strlen(n_nationkey || ',' || n_regionkey || ',' || n_name) + 1)::BIGINT AS bytes, true AS timed FROM nation")
+def port_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sockets.drain("127.0.0.1", generator.serve(_nation_lines(spark, sf_dir))[0])
+    return spark.createDataFrame([(int(found["bytes"]), found["seconds"] > 0 and found["mb_per_s"] > 0)], "bytes long, timed boolean")
+
+
+@query("SELECT CAST(n_nationkey AS INTEGER) AS value FROM nation UNION ALL SELECT TRY_CAST(unnest(string_split(n_name, ' ')) AS INTEGER) FROM nation")
+def typed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of a text; what is no number is null."""
+    return batch.tokens(spark, io.StringIO("\n".join(x.replace(",", " ").split(" ", 1)[0] + "\t" + x.split(",")[2] for x in _nation_lines(spark, sf_dir))), "int")
+
+
+@query("SELECT 'price' AS name, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem UNION ALL SELECT 'quantity', min(l_quantity), max(l_quantity) FROM lineitem")
+def config_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges written as a header and a line, and read as a generator's configuration."""
+    path = new_folder(spark, "config")
+    bounds = [f(c).alias(f"{n}_range_{end}") for n, c in (("price", "l_extendedprice"), ("quantity", "l_quantity")) for end, f in (("first", F.min), ("second", F.max))]
+    table(spark, sf_dir, "lineitem").agg(*bounds).write.option("header", True).csv(path)
+    found = generator.ranges_of(batch.config(spark, path))
+    return spark.createDataFrame([(n, *r) for n, r in found.items()], "name string, low double, high double")
+
+
+@query("SELECT * FROM (VALUES (0, 'ads', 300, true, true, true), (0, 'checkouts', 300, true, true, true), (1, 'ads', 300, true, true, true), (1, 'checkouts', 300, true, true, true)) AS t(rank, side, n, in_range, one_time, paced)")
+def ranked_generators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ranks' generated streams, drained from their ports: rows made first, stamped with one time, sent at a rate."""
+    pace, out = generator.megabytes_rate(0.05, 30), []
+    for rank, ports in enumerate(generator.serve_ranks(spark, 300, 2, pace=pace)):
+        for side, port in zip(("ads", "checkouts"), ports):
+            began = time.time()
+            rows = [x.split(",") for x in sockets.port_text("127.0.0.1", port).splitlines()]
+            ad, amount = (0, 2) if side == "ads" else (2, 3)
+            fits = all((side == "checkouts") <= (0 <= int(r[ad]) <= 1000) and int(r[ad]) >= (side == "ads") and 10 <= float(r[amount]) < 100 for r in rows)
+            out.append((rank, side, len(rows), fits, len({r[-1] for r in rows}) == 1, time.time() - began >= (300 // pace.burst - 1) * pace.sleep_ms / 1000))
+    return spark.createDataFrame(out, "rank int, side string, n int, in_range boolean, one_time boolean, paced boolean")
+
+
+@query("SELECT p_partkey || ',' || coalesce(p_name, '') || ',' || printf('%.6f', p_retailprice) AS line FROM part")
+def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as lines with six decimals, in files without header that replace what was there, read again."""
+    path = new_folder(spark, "csv")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    text.write_csv(rows.limit(1), path)
+    text.write_csv(rows, path)
+    return batch.csv_lines(spark, path).select(F.col("value").alias("line"))
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations of each region, in order, and an empty list after them."""
+    nations = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations")
+    lists = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(nations)
+    end = spark.range(2).select((F.col("id") + 100).alias("n_regionkey"), F.lit(None).cast(lists.schema["nations"].dataType).alias("nations"))
+    return lists.union(end.select(F.col("n_regionkey").cast(lists.schema["n_regionkey"].dataType), F.coalesce("nations", F.array().cast(lists.schema["nations"].dataType)))).coalesce(1).sortWithinPartitions("n_regionkey")
+
+
+def _printed(spark: SparkSession, out: io.StringIO) -> DataFrame:
+    return spark.createDataFrame([(k, x) for k, x in enumerate(out.getvalue().splitlines())], "i long, line string")
+
+
+@query("SELECT row_number() OVER (ORDER BY n_regionkey) - 1 AS i, string_agg(n_nationkey || ',' || n_name, ' ' ORDER BY n_nationkey) AS line FROM nation GROUP BY n_regionkey")
+def vector_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists as printed, up to the first empty one."""
+    out = io.StringIO()
+    text.to_console_vectors(_regions(spark, sf_dir), "nations", out)
+    return _printed(spark, out)
+
+
+@query("SELECT row_number() OVER (ORDER BY n_regionkey) - 1 AS i, string_agg(n_nationkey::VARCHAR, ' ' ORDER BY n_nationkey) AS line FROM nation GROUP BY n_regionkey")
+def vector_sink_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each element the first field only."""
+    out = io.StringIO()
+    text.to_console_vectors(_regions(spark, sf_dir), "nations", out, first_only=True)
+    return _printed(spark, out)
+
+
+@query("SELECT row_number() OVER (ORDER BY n_name) AS i, n_name AS name FROM nation ORDER BY n_name LIMIT 7")
+def function_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a function was called with: the first seven rows and their numbers."""
+    seen: list[tuple[int, str]] = []
+    text.to_function(table(spark, sf_dir, "nation").select("n_name").orderBy("n_name"), 7, lambda i, row: seen.append((i, row.n_name)))
+    return spark.createDataFrame(seen, "i long, name string")
 
 
 # ---------------------------------------------------------------- aggregates and windows
@@ -250,7 +379,11 @@ def replay_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_E}, {_ADS} SELECT ad_id, {_SUM.format('amount')} AS out FROM ads GROUP BY ALL")
 def agg_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ads(spark, sf_dir).groupBy("ad_id").agg(total("amount").alias("out"))
+    """Cents are added, as whole numbers."""
+    key, cents = Field("ad_id", "int"), Field("out", "long")
+    df = ads(spark, sf_dir).select(F.col("ad_id").alias(key.column), (money(F.col("amount")) * 100).cast("long").alias(cents.column))
+    out = project.project(aggregate.aggregate(df, AggSchema.of((key, "key"), (cents, "sum"))), key, cents)
+    return out.withColumn("out", (F.col("out").cast("decimal(18,0)") / 100).cast("double"))
 
 
 @query(f"WITH {_E}, {_ADS} SELECT ad_id, min(amount) AS out FROM ads GROUP BY ALL")
@@ -285,11 +418,10 @@ def agg_noop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_returnflag AS flag, l_linestatus AS status, min(l_quantity) AS low, max(l_extendedprice) AS high, count(*) AS n, max(l_shipdate) AS last FROM lineitem GROUP BY ALL")
 def agg_schema_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag, status, low, high, n, last = Field("flag", "string"), Field("status", "string"), Field("low", "double"), Field("high", "double"), Field("n", "uint64"), Field("last", "timestamp")
+    flag, status, low, high, n, last = Field("flag", "string"), Field("status", "string"), Field("low", "double"), Field("high", "double"), Field("n", "uint64"), Field("last", "local_timestamp")
     source = {flag: F.col("l_returnflag"), status: F.col("l_linestatus"), low: F.col("l_quantity"), high: F.col("l_extendedprice"), n: F.lit(1)}
     df = table(spark, sf_dir, "lineitem").select(*[c.alias(f.column) for f, c in source.items()], F.col("l_shipdate").alias(last.column))
-    spec = AggSchema.of((flag, "key"), (status, "key"), (low, "min"), (high, "max"), (n, "sum"))
-    out = df.groupBy(flag.column, status.column).agg(*aggregate.expressions(spec), F.max(last.column).alias(last.column))
+    out = aggregate.aggregate(df, AggSchema.of((flag, "key"), (status, "key"), (low, "min"), (high, "max"), (n, "sum"), (last, "max")))
     return project.project(out, flag, status, low, high, n, last)
 
 
@@ -340,32 +472,16 @@ def hash_join_1to1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.window_join(left, right, lk, rk).select("w_start", F.col(lk.column).alias("ad_id"), F.round(cost.column, 2).alias("cost"), F.round(value.column, 2).alias("value"))
 
 
-@query("SELECT o_orderkey, o_custkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'")
-def hash_join_one_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return joins.multi_join(orders, lines, "o_orderkey", "l_orderkey").drop("l_orderkey")
-
-
 @query("SELECT o_orderkey, o_custkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
-def hash_join_one_to_many_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of whole tables."""
+def hash_join_one_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     return joins.multi_join(orders, lines, "o_orderkey", "l_orderkey").drop("l_orderkey")
 
 
-@query("WITH p AS (SELECT l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45), s AS (SELECT l_partkey AS part, l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity <= 5) SELECT l_partkey, l_suppkey, count(*) AS n FROM p JOIN s ON l_partkey = part GROUP BY ALL")
-def hash_join_many_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    p = lines.where("l_returnflag = 'R' AND l_quantity >= 45").select("l_partkey", "l_quantity")
-    s = lines.where("l_returnflag = 'A' AND l_quantity <= 5").select(F.col("l_partkey").alias("part"), "l_suppkey")
-    return joins.multi_join(p, s, "l_partkey", "part").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
-
-
 @query("SELECT p.l_partkey, s.l_suppkey, count(*) AS n FROM lineitem p JOIN lineitem s ON p.l_partkey = s.l_partkey GROUP BY ALL")
-def hash_join_many_to_many_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of two lines of a part, of the whole table; pairs are joined first and counted then."""
+def hash_join_many_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of two lines of a part; pairs are joined first and counted then."""
     lines = table(spark, sf_dir, "lineitem")
     p, s = lines.select("l_partkey"), lines.select(F.col("l_partkey").alias("part"), "l_suppkey")
     return joins.multi_join(p, s, "l_partkey", "part").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
@@ -458,7 +574,15 @@ def ideal_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.ideal_scaling(means).withColumn("ideal", F.round("ideal", 6))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {_RESULTS},
+o AS (SELECT CAST(w_start AS DATE) AS day, ad_id, final_ts, row_count, row_number() OVER (PARTITION BY CAST(w_start AS DATE) ORDER BY final_ts, ad_id) AS i FROM r),
+f AS (
+  SELECT day, ad_id, final_ts, row_count, i, 5 AS w, [ad_id] AS seen FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.day, o.ad_id, o.final_ts, o.row_count, o.i, CASE WHEN list_contains(f.seen, o.ad_id) THEN f.w + 1 ELSE f.w END,
+         CASE WHEN list_contains(f.seen, o.ad_id) THEN [o.ad_id] ELSE list_append(f.seen, o.ad_id) END
+  FROM f JOIN o ON o.day = f.day AND o.i = f.i + 1)
+SELECT day, ad_id, final_ts, CAST(row_count AS BIGINT) AS row_count, w AS "window" FROM f""")
 def detected_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows found again from the order of output rows, each day of output a run of its own."""
     r = results(spark, sf_dir).withColumn("day", F.to_date("w_start")).select("day", "ad_id", "final_ts", "row_count")
@@ -476,3 +600,42 @@ def _sweep(keys: int) -> Query:
 
 for _n in (10, 100, 1000):
     query(f"WITH {_PROFIT} SELECT w_start, ad_id, profit, max_ts, CAST(n_ads AS BIGINT) AS n_ads FROM profit".replace("user_id, ad_id, value AS amount", f"user_id, CAST(user_id % {_n} AS INTEGER) AS ad_id, value AS amount"))(_sweep(_n))
+
+
+#: Windows of the sweep over many keys: lines cost, orders bring value.
+_MONTH = 30 * 24 * HOUR
+
+
+def _wide_sweep(keys: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        side = lambda name, ts, key, amount: table(spark, sf_dir, name).select(F.col(ts).alias("ts"), (F.col(key) % keys).cast("int").alias("ad_id"), F.col(amount).alias("amount"))
+        return profit_by_window(side("lineitem", "l_shipdate", "l_orderkey", "l_extendedprice"), side("orders", "o_orderdate", "o_orderkey", "o_totalprice"), 5 * _MONTH, _MONTH)
+
+    run.__name__ = f"key_sweep_{keys}"
+    return run
+
+
+_WIDE = """WITH ads AS (SELECT l_shipdate AS ts, CAST(l_orderkey % {n} AS INTEGER) AS ad_id, l_extendedprice AS amount FROM lineitem),
+checkouts AS (SELECT o_orderdate AS ts, CAST(o_orderkey % {n} AS INTEGER) AS ad_id, o_totalprice AS amount FROM orders WHERE o_orderkey % {n} <> 0),
+k AS (SELECT unnest([0, 1, 2, 3, 4]) AS k),
+a AS (SELECT time_bucket(INTERVAL 30 DAY, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 30 DAY AS w_start, ad_id, sum(CAST(amount AS DECIMAL(18,2))) AS cost, max(ts) AS ts, count(*) AS n FROM ads, k GROUP BY ALL),
+c AS (SELECT time_bucket(INTERVAL 30 DAY, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 30 DAY AS w_start, ad_id, sum(CAST(amount AS DECIMAL(18,2))) AS value, max(ts) AS ts FROM checkouts, k GROUP BY ALL)
+SELECT a.w_start, a.ad_id, CAST(c.value - a.cost AS DOUBLE) AS profit, greatest(a.ts, c.ts) AS max_ts, CAST(a.n AS BIGINT) AS n_ads FROM a JOIN c ON a.w_start = c.w_start AND a.ad_id = c.ad_id"""
+for _n in (10_000, 100_000, 1_000_000):
+    query(_WIDE.format(n=_n))(_wide_sweep(_n))
+
+
+# ---------------------------------------------------------------- pipelines
+
+
+@query(f"WITH {_PROFIT} SELECT epoch_ms(w_start) AS w_start, ad_id, profit, CAST(epoch_us(max_ts) // 1000 AS BIGINT) AS event_ts, CAST(n_ads AS BIGINT) AS row_count, true AS stamped FROM profit")
+def pipeline_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profit query as a pipeline of operators over lines, with windows of panes."""
+
+    def read(rows: DataFrame, *columns: Column) -> Callable[[SparkSession], DataFrame]:
+        return lambda _: rows.select(F.concat_ws(",", *[c.cast("string") for c in columns]).alias("value"), F.timestamp_millis(millis(F.col("ts"))).alias("arrival"))
+
+    one, user, ad, amount, at = F.lit(0), F.col("user_id"), F.col("ad_id"), money(F.col("amount")), millis(F.col("ts"))
+    q = profit_query(read(ads(spark, sf_dir), ad, user, amount, at), read(checkouts(spark, sf_dir), one, user, ad, amount, at), HOUR, 5, panes=True)
+    rows = (q.joined | dsl.rows_output(*q.output)).run(spark)
+    return rows.select(F.unix_millis("w_start").alias("w_start"), "ad_id", F.round("profit", 2).alias("profit"), "event_ts", "row_count", ((F.col("process_ts") > 0) & (F.col("final_ts") >= F.col("process_ts"))).alias("stamped"))

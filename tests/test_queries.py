@@ -73,8 +73,8 @@ def test_whole_joins_equal_brute_force(spark, tmp_path):
     lines = [(k % 7, k, 1 + k % 4, k % 3, float(k), "RAN"[k % 3]) for k in range(40)]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = entry.queries()["hash_join_one_to_many_whole"](spark, str(tmp_path)).select("o_orderkey", "o_custkey", "l_linenumber", "l_quantity")
+    got = entry.queries()["hash_join_one_to_many"](spark, str(tmp_path)).select("o_orderkey", "o_custkey", "l_linenumber", "l_quantity")
     assert sorted(map(tuple, got.collect())) == sorted((o, c, n, q) for o, c, _ in orders for k, n, _, _, q, _ in lines if o == k)
     pairs = Counter((a[2], b[3]) for a in lines for b in lines if a[2] == b[2])
-    got = entry.queries()["hash_join_many_to_many_whole"](spark, str(tmp_path)).collect()
+    got = entry.queries()["hash_join_many_to_many"](spark, str(tmp_path)).collect()
     assert {(r.l_partkey, r.l_suppkey): r.n for r in got} == pairs and len(got) == len(pairs)
