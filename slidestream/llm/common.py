@@ -17,15 +17,31 @@ from slidestream.shared import ship
 
 #: Bytes of an Arrow batch that Spark hands to Python; a row larger than that is a batch of its own.
 BYTES_PER_BATCH = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Entries that a worker's cache of words may hold before it starts anew.
 CACHE_ENTRIES = 300_000
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches of bounded size."""
+    """``mapInArrow`` over batches of bounded size. Spark reads the bound when the plan runs, so it is left in the session's settings;
+    one that the caller has set stays."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
-    return df.mapInArrow(fn, schema)
+    spark = df.sparkSession
+    if _BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(_BATCH_BYTES, str(BYTES_PER_BATCH))
+    names = df.columns
+    if not any(c in x for x in names for c in ".`"):
+        return df.mapInArrow(fn, schema)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+
+    return df.toDF(*[f"_{k}" for k in range(len(names))]).mapInArrow(named, schema)  # Spark looks columns up by plain name
+
+
+def quoted(column: str) -> str:
+    """The name as a reference, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slidestream.llm.common import quoted
 from slidestream.shared import broadcast_if_small, cut
 
 MIN_CHARS = 20
@@ -44,10 +45,10 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     Lines whose key has at least ``min_chars`` code points and is found in at least ``min_docs`` documents go from all but the largest
     doc_id that holds the key; there all its lines stay. A null or empty text is one empty line. Rows that share a doc_id count as
     one document; a null doc_id counts as one document, smaller than all others. Repeated rows give repeated results; an empty
-    table gives no rows. Other columns pass through.
+    table gives no rows. Other columns pass through, whatever their names.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    held = F.struct(*[F.col(c) for c in names if c != "text"]).alias("__rest")
+    held = F.struct(*[F.col(quoted(c)) for c in names if c != "text"]).alias("__rest")
     rows = docs.select(held, F.xxhash64("doc_id", "text").alias("row"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     drops = dropped_lines(rows.select("id", "row", "lines"), min_chars, min_docs)
     both = rows.join(drops, ["id", "row"], "left").withColumn("n_lines", F.size("lines").cast("long"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slidestream.llm.common import arrow_map, lower_words, texts
+from slidestream.llm.common import arrow_map, lower_words, quoted, texts
 from slidestream.llm.components import connected_components
 from slidestream.shared import broadcast_if_small, cut
 
@@ -254,9 +254,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is the least of their component; of rows that share a doc_id one stays; rows without one stay."""
+    """Rows of ``docs`` whose doc_id is the least of their component; of rows that share a doc_id one stays; rows without one stay.
+
+    Null and empty texts are duplicates of each other, as their fingerprint is the same. All columns stay, whatever their names; an empty
+    table gives no rows. The joins of documents to fingerprints and to kept ids have a hot key where a third of all texts is one: adaptive
+    execution, which must be on, splits it.
+    """
     kept = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     rank = "_" * (1 + max(map(len, docs.columns)))  # no column has this name
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).drop(rank)
-    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+    return named.select(*map(quoted, docs.columns)).union(docs.where("doc_id is null"))

@@ -70,3 +70,15 @@ def test_no_python_in_plan(spark):
     df, _ = data.documents(spark)
     plan = line_dedup.line_dedup(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_column_names_with_dots(spark):
+    from pyspark.sql import functions as F
+
+    from slidestream.llm import line_dedup, simhash
+
+    df = spark.createDataFrame([(k, "a line that is shared by three\nown " + str(k)) for k in range(3)], "doc_id long, text string")
+    df = df.withColumn("a.b", F.lit(1)).withColumn("c`d", F.col("doc_id"))
+    got = line_dedup.line_dedup(df)
+    assert got.columns == [*df.columns, "n_lines", "n_dropped"] and sorted(tuple(r) for r in got.collect()) == [(0, "own 0", 1, 0, 2, 1), (1, "own 1", 1, 1, 2, 1), (2, "a line that is shared by three\nown 2", 1, 2, 2, 0)]
+    assert simhash.near_dedup(df).columns == df.columns and simhash.near_dedup(df).count() >= 1
