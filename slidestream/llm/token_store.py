@@ -4,8 +4,8 @@ A file holds whole documents. Ids are split into 8-bit chunks: level 0 has the l
 ids that have one. A level's bitmap marks the ids that go on in the next level, and a directory has the number of marks before every
 block of 512 bits, so the place of an id's next chunk is one rank query and any id is read without decoding others.
 
-Layout, little-endian: magic, n_docs u64, n_tokens u64, n_levels u64, n_entries u64 of each level; doc_id i64 [n_docs];
-doc_end u64 [n_docs]; then for each level the chunks u8 [n_entries], padded to 8 bytes, the bitmap u64 [ceil(n/64)] and the directory
+Layout, little-endian: magic, n_docs u64, n_null u64 (so many documents, the first ones, have no doc_id and 0 in its place), n_tokens u64,
+n_levels u64, n_entries u64 of each level; doc_id i64 [n_docs]; doc_end u64 [n_docs]; then for each level the chunks u8 [n_entries], padded to 8 bytes, the bitmap u64 [ceil(n/64)] and the directory
 u64 [ceil(n/512) + 1].
 """
 
@@ -25,18 +25,18 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, models, pre_tokenizers, processors
 
 from slidestream.llm.common import arrow_map, texts
 from slidestream.shared import cut
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-MAGIC = b"SLDAC001"
+MAGIC = b"SLDAC002"
 #: A file is closed once it has so many ids; a document is never split over files.
 FILE_TOKENS = 2_000_000
 #: Pieces that a worker remembers.
 PIECES = 400_000
-_NO_ID = -(1 << 63)
 _PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _OTHER_SPACE = re.compile(r"[^\S \n\t\r]")
 _RARE = "\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -65,9 +65,10 @@ def build(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             return levels
 
 
-def to_bytes(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
+def to_bytes(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, n_null: int = 0) -> bytes:
     levels = build(ids)
-    out = [MAGIC, struct.pack(f"<{3 + len(levels)}Q", len(doc_ids), len(ids), len(levels), *[len(c) for c, _, _ in levels]), doc_ids.astype("<i8").tobytes(), np.cumsum(counts).astype("<u8").tobytes()]
+    head = struct.pack(f"<{4 + len(levels)}Q", len(doc_ids), n_null, len(ids), len(levels), *[len(c) for c, _, _ in levels])
+    out = [MAGIC, head, doc_ids.astype("<i8").tobytes(), np.cumsum(counts).astype("<u8").tobytes()]
     for chunks, words, ranks in levels:
         out += [chunks.tobytes(), b"\0" * (-len(chunks) % 8), words.tobytes(), ranks.tobytes()]
     return b"".join(out)
@@ -78,12 +79,12 @@ class TokenFile:
 
     def __init__(self, read_at: Callable[[int, int], bytes]):
         self.read_at = read_at
-        head = read_at(32, 0)
+        head = read_at(40, 0)
         if head[:8] != MAGIC:
             raise ValueError("not a token file")
-        self.n_docs, self.n_tokens, n_levels = struct.unpack("<3Q", head[8:])
-        sizes = struct.unpack(f"<{n_levels}Q", read_at(8 * n_levels, 32))
-        self._docs = at = 32 + 8 * n_levels
+        self.n_docs, self.n_null, self.n_tokens, n_levels = struct.unpack("<4Q", head[8:])
+        sizes = struct.unpack(f"<{n_levels}Q", read_at(8 * n_levels, 40))
+        self._docs = at = 40 + 8 * n_levels
         at += 16 * self.n_docs
         self.levels = []
         for n in sizes:
@@ -173,6 +174,24 @@ class Pieces(dict):
         return out
 
 
+def splits_by_rule(tokenizer: Tokenizer) -> bool:
+    """Whether ids of parts in a row are those of the text: a byte-level BPE that knows every byte, with the usual pattern of pre-tokens,
+    that changes neither texts nor ids before or after."""
+    t, pre, model = tokenizer, tokenizer.pre_tokenizer, tokenizer.model
+    return (
+        t.normalizer is None
+        and isinstance(pre, pre_tokenizers.ByteLevel)
+        and pre.use_regex
+        and not pre.add_prefix_space
+        and isinstance(model, models.BPE)
+        and not (model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix)
+        and t.truncation is None
+        and t.padding is None
+        and (t.post_processor is None or isinstance(t.post_processor, processors.ByteLevel))
+        and set(pre_tokenizers.ByteLevel.alphabet()) <= t.get_vocab(with_added_tokens=False).keys()
+    )
+
+
 class PieceEncoder:
     """Ids by the tokenizers library, with a cache of pieces.
 
@@ -182,15 +201,16 @@ class PieceEncoder:
     A text where a space follows other white space is cut by the pattern of parts, and one with white space besides space, tab and line
     ends is one piece. Keys of pieces that don't start with a space are marked by a zero character.
 
+    Other tokenizers (see ``splits_by_rule``) encode whole texts, without a cache.
+
     With ``added``, a text that holds an added token's literal goes to the library whole, which gives that token as it does by default;
     else such a literal is encoded as any other characters.
     """
 
     def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_rule, self.added = splits_by_rule(self.tokenizer), added
         self.tokenizer.encode_special_tokens = True
         self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -262,14 +282,16 @@ class PieceEncoder:
         self.pieces.add(flat, np.diff(ends))
 
     def _whole(self, batch: list[str]) -> list[np.ndarray]:
-        """Ids by the library's defaults."""
-        self.tokenizer.encode_special_tokens = False
+        """Ids by the library, by its defaults with ``added``."""
+        self.tokenizer.encode_special_tokens = not self.added
         try:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
         finally:
             self.tokenizer.encode_special_tokens = True
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
+        if not self.by_rule:
+            return self._whole(batch)
         whole = {k: t for k, t in enumerate(batch) if any(x in t for x in self.literals)}
         if not whole:
             return self._by_pieces(batch)
@@ -314,12 +336,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         fs, base = pa.fs.FileSystem.from_uri(folder)
-        held: list[tuple[int, np.ndarray]] = []
+        held: list[tuple[int | None, np.ndarray]] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
             name = f"{base}/part-{part:06d}-{seq:05d}.dac"
-            data = to_bytes(np.array([d for d, _ in held], np.int64), np.array([len(x) for _, x in held]), np.concatenate([x for _, x in held]))
+            n_null = sum(d is None for d, _ in held)  # nulls sort first
+            data = to_bytes(np.array([0 if d is None else d for d, _ in held], np.int64), np.array([len(x) for _, x in held]), np.concatenate([x for _, x in held]), n_null)
             with fs.open_output_stream(own := f"{name}.{uuid.uuid4().hex}") as f:
                 f.write(data)
             if fs.get_file_info(name).type != pa.fs.FileType.NotFound:  # of an earlier attempt; not every store renames over a file
@@ -330,7 +353,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         for b in batches:
             ids = b.column(0).to_pylist()
             for d, x in zip(ids, encoder(path).encode(texts(b.column(1)))):
-                held.append((_NO_ID if d is None else d, np.append(x, np.uint32(end_id))))
+                held.append((d, np.append(x, np.uint32(end_id))))
                 total += len(x) + 1
                 if total >= file_tokens:
                     yield flush()
@@ -368,7 +391,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         s = np.concatenate(([ends[a - 1] if a else 0], e[:-1]))
                         tokens = t.slice(int(s[0]), int(e[-1])).astype("<u4")
                         rows = [tokens[x - s[0] : y - s[0]].tobytes() for x, y in zip(s, e)]
-                        yield pa.RecordBatch.from_arrays([pa.array([None if d == _NO_ID else d for d in ids[a : a + 512].tolist()], pa.int64()), pa.array(start + s), pa.array(e - s), pa.array(rows, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                        null = np.arange(a, a + len(e)) < t.n_null
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 512], pa.int64(), mask=null), pa.array(start + s), pa.array(e - s), pa.array(rows, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
     spread = with_starts(manifest).select("path", "start").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     return arrow_map(spread, run, "doc_id long, start long, n_tokens long, ids binary")

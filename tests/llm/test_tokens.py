@@ -10,7 +10,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from slidestream.llm import bpe, token_counts, token_store
 from tests.llm import data
@@ -72,6 +72,15 @@ def test_codes(ids, draw):
         assert t.slice(k, b).tolist() == ids[k:b].tolist()
 
 
+def test_documents_without_id(spark, tmp_path):
+    raw = token_store.to_bytes(np.array([0, -(1 << 63)]), np.array([1, 1]), np.array([7, 8], np.uint32), 1)
+    assert token_store.TokenFile(lambda n, at: raw[at : at + n]).n_null == 1
+    rows = [(-(1 << 63), "least"), (None, "none"), (0, "zero"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = token_store.read_tokens(token_store.write_tokens(df, f"file://{tmp_path}/ids")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -(1 << 63), 0]
+
+
 def test_random_access_reads_little():
     ids = np.random.default_rng(1).integers(0, 50_000, 200_000).astype(np.uint32)
     raw = token_store.to_bytes(np.array([1]), np.array([len(ids)]), ids)
@@ -134,6 +143,34 @@ def test_added_tokens_are_the_librarys(spark, tmp_path):
         at += len(ids)
 
 
+def changed(name):
+    t = Tokenizer.from_file(JSON)
+    if name == "lower case":
+        t.normalizer = normalizers.Lowercase()
+    elif name == "prefix space":
+        t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    elif name == "no pattern":
+        t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    elif name == "digits":
+        t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    elif name == "truncated":
+        t.enable_truncation(3)
+    elif name == "another file":
+        t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return t
+
+
+@pytest.mark.parametrize("name", ["as it is", "lower case", "prefix space", "no pattern", "digits", "truncated", "another file"])
+def test_other_tokenizers_encode_whole_texts(tmp_path, name):
+    t = changed(name)
+    t.save(path := str(tmp_path / "tokenizer.json"))
+    e = token_store.PieceEncoder(path, added=True)
+    assert e.by_rule == (name == "as it is")
+    batch = ["", "Hello World, 12345 times!", "  two  spaces\n\nand lines ", "a <|endoftext|> b", "x.,;12 3"] + [x for x in data.texts() if x and len(x) < 500]
+    for x, y in zip(e.encode(batch), Tokenizer.from_file(path).encode_batch(batch, add_special_tokens=False)):
+        assert x.tolist() == y.ids
+
+
 def test_store_of_nothing(spark, tmp_path):
     m = token_store.write_tokens(data.empty(spark), f"file://{tmp_path}/none")
     assert token_store.read_tokens(m).count() == 0
