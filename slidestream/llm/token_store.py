@@ -17,10 +17,12 @@ import struct
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -220,16 +222,33 @@ class PieceEncoder:
         self.id_type = np.uint16 if len(self.token_bytes) <= 1 << 16 else np.uint32
         self.pieces, self.parts = Pieces(self.id_type), Pieces(self.id_type)
 
-    def _keys(self, text: str) -> list[str]:
+    def _keys(self, text: str) -> list[str] | None:
+        """The pieces' keys, or None if they are what stands between the spaces of the text with its mark."""
         if not text:
             return []
         if (any(c in text for c in _RARE) if text.isascii() else _OTHER_SPACE.search(text)) or "\0" in text:
             return ["\0" + text]
         if any(pair in text for pair in _SPACE_PAIRS):
             return ["\0" + p for p in _PIECE.findall(text)]
-        keys = text.split(" ")
-        keys[0] = "\0" + keys[0]
-        return keys
+        return None
+
+    def _numbers(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the batch's pieces, text after text, and where each text's begin and end. Each different piece is looked up once."""
+        rows = [self._keys(t) for t in batch]
+        cut = pc.split_pattern(pa.array(["\0" + t for t, keys in zip(batch, rows) if keys is None], pa.large_string()), " ")
+        # the texts that Arrow cuts come first
+        others = pa.array(list(chain.from_iterable(keys for keys in rows if keys)), pa.large_string())
+        keys = pa.concat_arrays([cut.flatten(), others]).dictionary_encode()
+        names = keys.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+        numbers = np.fromiter(map(self.pieces.__getitem__, names), np.int64, len(names))[keys.indices.to_numpy()]
+        simple = np.array([k is None for k in rows], bool)
+        sizes = np.zeros(len(batch), np.int64)
+        sizes[simple] = np.diff(cut.offsets.to_numpy())
+        sizes[~simple] = [len(k) for k in rows if k is not None]
+        order = np.concatenate((np.flatnonzero(simple), np.flatnonzero(~simple)))
+        ends = np.empty(len(batch), np.int64)
+        ends[order] = np.cumsum(sizes[order])
+        return numbers, np.stack((ends - sizes, ends))
 
     def _learn_parts(self) -> None:
         new, self.parts.new = self.parts.new, []
@@ -240,7 +259,7 @@ class PieceEncoder:
         ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         if chained:  # encoded as one text, and cut apart again by their bytes
             row = np.array(self.tokenizer.encode_batch_fast(["".join([new[k] for k in chained])], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(np.fromiter((len(new[k].encode()) for k in chained), np.int64, len(chained)))
+            ends = np.cumsum(pc.binary_length(pa.array([new[k] for k in chained], pa.large_string())).to_numpy())
             token_ends = np.cumsum(self.token_bytes[row])
             stops = np.searchsorted(token_ends, ends, side="left") + 1
             if not np.array_equal(token_ends[stops - 1], ends):
@@ -260,6 +279,10 @@ class PieceEncoder:
         new, self.pieces.new = self.pieces.new, []
         numbers, counts, part = [], [], self.parts.__getitem__
         for key in new:
+            if key.isalpha():
+                numbers.append(part(" " + key))
+                counts.append(1)
+                continue
             before = len(numbers)
             if key[:1] == "\0":
                 text = key[1:]
@@ -305,14 +328,13 @@ class PieceEncoder:
             self.pieces = self.pieces.shrunk(PIECES // 2)
         if len(self.parts) > PIECES:
             self.parts = self.parts.shrunk(PIECES // 2)
-        number, numbers = self.pieces.__getitem__, []
-        for t in batch:
-            keys = self._keys(t)
-            numbers.append(np.fromiter(map(number, keys), np.int64, len(keys)))
+        numbers, (starts, ends) = self._numbers(batch)
         if self.pieces.new:
             self._learn()
-        self.pieces.used(np.concatenate([np.zeros(0, np.int64), *numbers]))
-        return [self.pieces.take(k)[0].astype(np.uint32) for k in numbers]
+        self.pieces.used(numbers)
+        flat, n = self.pieces.take(numbers)
+        at = np.concatenate(([0], np.cumsum(n)))
+        return [flat[a:b].astype(np.uint32) for a, b in zip(at[starts], at[ends])]
 
 
 @lru_cache(maxsize=2)
