@@ -129,3 +129,64 @@ def test_repeated_and_long_rows_of_the_sample(spark):
     two = tx.train(docs, labels, max_chars=1_000_000)
     texts = [r[1] for r in rows[:20]]
     assert np.allclose(tx.Scorer(one).scores(texts), tx.Scorer(two).scores(texts))
+
+
+def test_every_labelled_row_is_learned(spark, trained):
+    """Rows beyond what a task holds at a time, and texts longer than that, are learned and calibrate like all others."""
+    rows, docs, labels, _ = trained
+    model = tx.train(docs, labels, max_chars=5_000)  # a twentieth of that is a short text, the whole of it a dozen
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    got = tx.Scorer(model).scores([r[1] for r in held]) >= tx.THRESHOLD
+    assert np.mean(got == [r[5] == 1 for r in held]) > 0.93
+    assert set(model.thresholds) == {"de", "en"}
+
+
+def test_sums_over_shards_are_of_all_rows(spark, trained, monkeypatch):
+    """Counts over shards, added in two levels, by plain loops over every labelled row; from joins of either kind."""
+    rows, docs, labels, model = trained
+    seen = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    shards = -(-len(seen) // 20)
+    assert shards > tx._FAN
+    start = tx._Start(model, None, None, False)
+    sums = []
+    monkeypatch.setattr(tx, "_learn", lambda total, shards, seed: sums.append([total(step, start) for step in (tx._tally, tx._histogram, tx._by_language)] + [shards]))
+    for limit in (tx.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(tx, "BROADCAST_ROWS", limit)
+        tx.train(docs.union(docs.limit(50)), labels, shard_rows=20, max_chars=2_000)
+    want = np.zeros(tx.BUCKETS, int)
+    for r in seen:
+        want[list({f for w in r[1].encode().split() for f in tx.features(w)})] += 1
+    scores = tx.Scorer(model).scores([r[1] for r in seen])
+    for tally, histogram, languages, n in sums:
+        assert n == shards
+        assert (tally["fit"] + tally["held"]).tolist() == [sum(not r[5] for r in seen), sum(r[5] for r in seen)]
+        assert (tally["fit seen"] + tally["held seen"] == want).all()
+        assert histogram["rows"].sum(axis=1).tolist() == (tally["fit"] + tally["held"]).tolist()
+        for lang in ("de", "en"):
+            own = [(s, r[5]) for s, r in zip(scores, seen) if r[2] == lang]
+            assert languages[lang].tolist() == [sum(y == k for _, y in own) for k in (0, 1)] + [sum(y == k and s >= c for s, y in own) for k in (0, 1) for c in tx._CUTS]
+
+
+def test_many_shards_learn_one_model(spark, trained):
+    """The mean of shards judges held-out rows as well as one task does, and doesn't depend on partitions."""
+    rows, docs, labels, _ = trained
+    one = tx.train(docs, labels, shard_rows=200)
+    two = tx.train(docs.repartition(7), labels.repartition(3), shard_rows=200)
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    text = [r[1] for r in held]
+    a, b = tx.Scorer(one).scores(text), tx.Scorer(two).scores(text)
+    assert np.allclose(a, b)
+    assert np.mean((a >= tx.THRESHOLD) == [r[5] == 1 for r in held]) > 0.93
+
+
+def test_long_texts_are_fitted_part_by_part(trained, monkeypatch):
+    """Greatest responses and their windows are those of whole texts, however a batch is cut."""
+    rng = random.Random(4)
+    own = [(0, "en", 0, *next(tx.encoded([t]))) for t in ["", "scum", data.prose(rng, 900), data.prose(rng, 40), "idiot " + data.prose(rng, 300)]]
+    portion = next(tx.portions(own, 1 << 20))
+    monkeypatch.setattr(tx, "DROP", 0)
+    whole = tx._pooled(trained[3], portion.docs, portion.table, np.random.default_rng(1))
+    monkeypatch.setattr(tx, "_CHUNK", 16)
+    assert len(list(tx.parts(portion.docs))) > 10
+    cut = tx._pooled(trained[3], portion.docs, portion.table, np.random.default_rng(1))
+    assert np.allclose(whole[0], cut[0], atol=1e-5) and (whole[1] == cut[1]).mean() > 0.99
